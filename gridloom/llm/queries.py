@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .common import staged_path
 from .exact_dedup import exact_duplicates
+from .mixing import mix_to_weights
+from .packing import pack_by_mixture
+from .token_files import token_digests, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_weights(_table(spark, sf_dir, "documents"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staged_path(spark, "tokens")
+    write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return token_digests(spark, path)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_mixture(_table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
