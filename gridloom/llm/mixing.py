@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,16 +80,31 @@ def _paired(units: DataFrame, seed: int) -> DataFrame:
     return listed.select("source", "blocks", F.aggregate(F.expr("slice(units, 2, size(units))"), start, lambda s, x: _pivot(s, x, seed)).alias("s")).select("source", "blocks", "s.cur", "s.done")
 
 
+def _closed(roots: DataFrame) -> DataFrame:
+    """Decided units of sources that have come to one node: the unit left over takes its nearest copy, and the words this
+    adds or loses are given back by turning over other units of that node, largest first, while that lessens them."""
+    cur = F.col("cur")
+    nearest = F.when(cur["p"] >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    start = F.struct(((nearest - cur["p"]) * cur["size"]).alias("off"), F.array(_unit(cur, nearest)).alias("out"))
+
+    def turned(s: Column, u: Column) -> Column:
+        off = s["off"] + (1 - 2 * u["p"]) * u["size"]
+        turn = F.abs(off) < F.abs(s["off"])
+        return F.struct(F.when(turn, off).otherwise(s["off"]).alias("off"), F.concat(s["out"], F.array(_unit(u, F.when(turn, 1 - u["p"]).otherwise(u["p"])))).alias("out"))
+
+    return roots.select("source", F.explode(F.aggregate("done", start, turned)["out"]).alias("unit"))
+
+
 def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", doc_id: str = "doc_id", fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
     Each source's target is in words (see source_targets()). A document is due target / source_size copies: the whole
     part is taken outright, the fractional part is a probability that pivotal rounding turns into 0 or 1. Units of one
     source are dealt to blocks of about ``fan_in`` by hash and paired off there, which leaves one undecided unit a
-    block; these go up a tree in which each level is dealt and paired the same way, until a source has one unit left,
-    which takes its nearest copy. Words are preserved at every pairing, so a source misses its target by at most half of
-    one document (and 1 word of rounding). All draws are hashes of doc_id and text: reruns agree on any number of
-    partitions. A hot source only has more blocks.
+    block; these go up a tree in which each level is dealt and paired the same way, until a source has one unit left.
+    Every pairing preserves the source's words; what the last unit's rounding adds or loses (half of one document at
+    most) is given back within that last node, see _closed(). All draws are hashes of doc_id and text: reruns agree on
+    any number of partitions. A hot source only has more blocks.
 
     Nulls: a null text has size 0, a null source is a source, a null doc_id stays null. Documents without words, and
     all of an empty table, have nothing to decide. Rows repeated in full are separate units, each decided for itself.
@@ -106,18 +123,17 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     unit = F.struct(F.col("size").cast("double").alias("size"), "h", "doc_id", "copies", "p").alias("unit")
     blocks = targets.select("source").join(per_source.select(F.col("source").alias("_s"), F.ceil(F.col("n") / fan_in).alias("blocks")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     level = join_small_or_salted(units.filter(undecided), blocks, "source").select("source", "blocks", unit)
-    decided, seed = [], 1
+    parts, seed = [], 1
     while True:
         paired = staged(_paired(level, seed), f"mix-level{seed}")
-        decided.append(paired.select("source", F.explode("done").alias("unit")))
-        left = paired.select("source", F.col("cur").alias("unit"), "blocks")
-        most_blocks = left.agg(F.max("blocks")).first()[0]
+        at_root = F.col("blocks") <= 1
+        parts += [paired.filter(~at_root).select("source", F.explode("done").alias("unit")), _closed(paired.filter(at_root))]
+        most_blocks = paired.agg(F.max("blocks")).first()[0]
         if most_blocks is None or most_blocks <= 1:
             break
-        level, seed = left.withColumn("blocks", F.ceil(F.col("blocks") / fan_in)), seed + 1
-    last = left.select("source", _unit(F.col("unit"), F.when(F.col("unit.p") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).alias("unit"))
-    for x in decided:
-        last = last.unionByName(x)
+        level = paired.filter(~at_root).select("source", F.col("cur").alias("unit"), F.ceil(F.col("blocks") / fan_in).alias("blocks"))
+        seed += 1
+    last = reduce(DataFrame.unionByName, parts)
     rounded = last.select("unit.doc_id", "source", F.col("unit.size").cast("long").alias("size"), (F.col("unit.copies") + F.col("unit.p").cast("long")).alias("copies"))
     out = join_small_or_salted(plain.unionByName(rounded), targets, "source")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", F.col("copies").cast("long").alias("copies"))
