@@ -11,6 +11,7 @@ from .common import staged_path
 from .exact_dedup import exact_duplicates
 from .mixing import mix_to_weights
 from .packing import pack_by_mixture
+from .quality_rules import quality_rules
 from .token_files import token_digests, write_token_files
 
 
@@ -35,6 +36,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_mixture(_table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
