@@ -61,3 +61,16 @@ def join_small_or_salted(rows: DataFrame, table: DataFrame, key: str, how: str =
     zero = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     on = (zero(key) == zero("_key")) & (F.col(key).isNull() == F.col("_key").isNull()) & (F.col("_salt") == F.col("_salt2"))
     return left.join(right, on, how).drop("_key", "_salt", "_salt2")
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of rows to a table on ``key``, where ``weight`` holds how many of ``rows`` have the key.
+
+    At most 200 keys can weigh more than a 200th of ``total`` each: their rows of the table are broadcast, so no task
+    gets a hot key; all others are joined by shuffle. ``total``: the rows, or what each of a fixed number of groups of
+    the rows holds (a band's rows, say).
+    """
+    hot = F.col(weight) * 200 > total
+    heavy = rows.join(F.broadcast(table.filter(hot)), key)
+    light = rows.join(F.broadcast(table.filter(hot).select(key).distinct()), key, "left_anti").join(table.filter(~hot), key)
+    return heavy.unionByName(light)

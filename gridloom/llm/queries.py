@@ -10,6 +10,7 @@ from . import sql
 from .common import staged_path
 from .exact_dedup import exact_duplicates
 from .mixing import mix_to_weights
+from .near_dedup import near_duplicates
 from .packing import pack_by_mixture
 from .quality_rules import quality_rules
 from .token_files import token_digests, write_token_files
@@ -36,6 +37,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
