@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .mixing import mix_to_weights
 from .near_dedup import near_duplicates
 from .packing import pack_by_mixture
+from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .token_files import token_digests, write_token_files
 
@@ -49,6 +50,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_mixture(_table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 

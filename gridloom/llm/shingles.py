@@ -24,9 +24,9 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def words_of(text: str) -> list[str]:
-    """``[^\\x20\\x09-\\x0D]+`` in lower case."""
-    text = text.lower()
+def words_of(text: str, lower: bool = True) -> list[str]:
+    """``[^\\x20\\x09-\\x0D]+``, by default in lower case."""
+    text = text.lower() if lower else text
     return text.split() if text.isascii() and not _ODD_SPACE.search(text) else _WORD.findall(text)
 
 
@@ -36,12 +36,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def batches_of(texts: list[str]):
+def batches_of(texts: list[str], lower: bool = True):
     """Yield (first, lists of words) for runs of texts of bounded size; a longer text is a run of its own."""
     some: list[list[str]] = []
     n = first = 0
     for k, t in enumerate(texts):
-        w = words_of(t)
+        w = words_of(t, lower)
         if some and (n + len(w) > BATCH_WORDS or len(some) >= BATCH_TEXTS):
             yield first, some
             some, n, first = [], 0, k
