@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import staged_path
 from .exact_dedup import exact_duplicates
+from .language_id import language_id
 from .mixing import mix_to_weights
 from .near_dedup import near_duplicates
 from .packing import pack_by_mixture
@@ -50,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_mixture(_table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
