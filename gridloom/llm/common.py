@@ -39,6 +39,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, written once so that the numbers stay, and the new column's name."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

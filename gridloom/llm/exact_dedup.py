@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, staged, text_or_empty
+from .common import SPACE, join_by_weight, numbered, staged, text_or_empty
 
 #: Probes of the filter, its bits a row, and the least and most bits: at most 2**28 bits (32 MB) are ever broadcast.
 PROBES, BITS_A_ROW, LEAST_BITS, MOST_BITS = 4, 16, 1 << 16, 1 << 28
@@ -52,10 +52,15 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     separate rows of a group, of which exactly one is kept. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
+    return _decided(docs, text, doc_id, F.monotonically_increasing_id()).drop("row")
+
+
+def _decided(docs: DataFrame, text: str, doc_id: str, row: Column) -> DataFrame:
+    """As exact_duplicates(), with each row's number."""
     spark = docs.sparkSession
     digests = staged(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
             F.col(doc_id).alias("doc_id"),
             F.length(text_or_empty(text)).cast("long").alias("n_chars"),
             F.unhex(F.sha2(F.regexp_replace(text_or_empty(text), SPACE, ""), 256)).alias("sha"),
@@ -75,19 +80,17 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         return pd.Series(hit)
 
     tested = digests.withColumn("maybe", maybe_repeated(*_probes(bits)))
-    alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "row")
     again = tested.filter("maybe").drop("maybe")
     best = F.min(F.struct((-F.col("n_chars")).alias("size"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")
     groups = staged(again.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).select("sha", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "groups")
-    # At most 200 groups can hold a 200th of the rows each: those few are broadcast, so that none lands in one task.
-    is_hot = F.col("group_size") * 200 > total
-    hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
-    joined = again.join(F.broadcast(hot), "sha").unionByName(again.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(cold, "sha"))
-    grouped = joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
-    return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    joined = join_by_weight(again, groups, "sha", "group_size", total)
+    grouped = joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha", "row")
+    return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "row")
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that exact_duplicates() keeps, with all their columns. Needs unique, non-null doc ids."""
-    kept = exact_duplicates(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(kept, doc_id, "left_semi")
+    """The rows of ``docs`` that exact_duplicates() keeps, with all their columns; null and repeated doc ids are no matter."""
+    rows, row = numbered(docs)
+    kept = _decided(rows, text, doc_id, F.col(row)).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

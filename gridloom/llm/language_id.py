@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality_model import fold
 from .shingles import batches_of
@@ -186,15 +187,15 @@ def identify_languages(docs: DataFrame, net: Network | None, text: str = "text")
     position of the whole text has label probabilities; the document's are their mean, the score is the largest.
     A text that is null or has no letter is ``und`` with score 0, as is every text without a network.
     """
-    schema = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
+    schema = T.StructType([f for f in docs.schema if f.name != text]).add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def predicted(batches):
         model = shared.value
         table = WordTable(len(model.labels) + 2, _word_rows(model)) if model else None
-        names = np.array([*model.labels, "und"], object) if model else np.array(["und"], object)
+        names = [*model.labels, "und"] if model else ["und"]
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text]]
+            texts = [t or "" for t in b.column(text).to_pylist()]
             label, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             for k, lists in batches_of(texts) if table else ():
                 s = table.sums(lists)
@@ -202,9 +203,10 @@ def identify_languages(docs: DataFrame, net: Network | None, text: str = "text")
                 has = s[:, -1] > 0
                 label[k : k + len(lists)][has] = p.argmax(axis=1)[has]
                 score[k : k + len(lists)][has] = p.max(axis=1)[has]
-            yield b.drop(columns=[text]).assign(lang_pred=names[label], score=np.clip(score, 0, 1))
+            kept = b.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([names[x] for x in label.tolist()], pa.string()), pa.array(np.clip(score, 0, 1))], [*kept.schema.names, "lang_pred", "score"])
 
-    return docs.mapInPandas(predicted, ", ".join([*schema, "lang_pred string", "score double"]))
+    return docs.mapInArrow(predicted, schema)
 
 
 def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small_or_salted, staged, text_or_empty
+from .common import WORD, join_small_or_salted, numbered, staged, text_or_empty
 
 #: Units that one task pairs off in a row; a node of the reduction tree has about this many children.
 FAN_IN = 128
@@ -68,7 +68,7 @@ def _pivot(state: Column, x: Column, seed: int) -> Column:
 
 
 def _unit(u: Column, p: Column) -> Column:
-    return F.struct(u["size"].alias("size"), u["h"].alias("h"), u["doc_id"].alias("doc_id"), u["copies"].alias("copies"), p.alias("p"))
+    return F.struct(u["size"].alias("size"), u["h"].alias("h"), u["doc_id"].alias("doc_id"), u["row"].alias("row"), u["copies"].alias("copies"), p.alias("p"))
 
 
 def _paired(units: DataFrame, seed: int) -> DataFrame:
@@ -110,17 +110,30 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     all of an empty table, have nothing to decide. Rows repeated in full are separate units, each decided for itself.
     Other columns are ignored.
     """
+    return _decided(docs, weights, share, most, text, source, doc_id, fan_in, F.lit(0)).drop("row")
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as mix_to_weights() takes it."""
+    rows, row = numbered(docs)
+    taken = _decided(rows, weights, share, most, text, source, doc_id, FAN_IN, F.col(row)).filter("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1).cast("long"), "copies").alias(f"_{row}_times"))
+    joined = rows.join(taken, row)
+    return joined.select(*[F.col(c) for c in rows.columns if c != row], F.explode(f"_{row}_times").alias(f"_{row}_time")).drop(f"_{row}_time")
+
+
+def _decided(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, text: str, source: str, doc_id: str, fan_in: int, row: Column) -> DataFrame:
+    """As mix_to_weights(), with each row's number."""
     size = F.coalesce(F.regexp_count(text_or_empty(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("h")), "mix")
+    slim = staged(docs.select(row.cast("long").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("h")), "mix")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = staged(source_targets(per_source.drop("n"), weights, share, most), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = targets.select("source", F.floor(due).alias("copies"), (due - F.floor(due)).alias("p"))
     units = join_small_or_salted(slim, rates, "source")
     undecided = (F.col("p") > 0) & (F.col("size") > 0)
-    plain = units.filter(~undecided).select("doc_id", "source", "size", "copies")
+    plain = units.filter(~undecided).select("row", "doc_id", "source", "size", "copies")
 
-    unit = F.struct(F.col("size").cast("double").alias("size"), "h", "doc_id", "copies", "p").alias("unit")
+    unit = F.struct(F.col("size").cast("double").alias("size"), "h", "doc_id", "row", "copies", "p").alias("unit")
     blocks = targets.select("source").join(per_source.select(F.col("source").alias("_s"), F.ceil(F.col("n") / fan_in).alias("blocks")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     level = join_small_or_salted(units.filter(undecided), blocks, "source").select("source", "blocks", unit)
     parts, seed = [], 1
@@ -134,6 +147,6 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
         level = paired.filter(~at_root).select("source", F.col("cur").alias("unit"), F.ceil(F.col("blocks") / fan_in).alias("blocks"))
         seed += 1
     last = reduce(DataFrame.unionByName, parts)
-    rounded = last.select("unit.doc_id", "source", F.col("unit.size").cast("long").alias("size"), (F.col("unit.copies") + F.col("unit.p").cast("long")).alias("copies"))
+    rounded = last.select("unit.row", "unit.doc_id", "source", F.col("unit.size").cast("long").alias("size"), (F.col("unit.copies") + F.col("unit.p").cast("long")).alias("copies"))
     out = join_small_or_salted(plain.unionByName(rounded), targets, "source")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", F.col("copies").cast("long").alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", F.col("copies").cast("long").alias("copies"), "row")

@@ -6,10 +6,10 @@ from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_by_weight, staged, text_or_empty
+from .common import SPACE, join_by_weight, numbered, staged, text_or_empty
 from .shingles import ConsistentSampler, Weigher, batches_of, bucket_of, features, weighted_jaccard
 
 #: Words of a shingle, the least similarity, bands and rows of a band (a pair at 0.8 shares a band with probability 0.995).
@@ -126,10 +126,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     null. Texts of fewer than ``size`` words have one shingle of them all. Repeated rows are rows of a class of which
     one is kept. Empty tables give empty results; other columns are ignored.
     """
+    return _decided(docs, text, doc_id, F.monotonically_increasing_id(), size, least, bands, rows).drop("row")
+
+
+def _decided(docs: DataFrame, text: str, doc_id: str, row: Column, size: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As near_duplicates(), with each row's number."""
     spark = docs.sparkSession
     node = F.substring(F.unhex(F.sha2(F.trim(F.regexp_replace(text_or_empty(text), SPACE, " ")), 256)), 1, 16)
-    full = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), node.alias("node"))
-    slim = staged(full.select(F.monotonically_increasing_id().alias("row"), "doc_id", "node"), "near-rows")
+    full = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), node.alias("node"))
+    slim = staged(full.select("row", "doc_id", "node"), "near-rows")
     total = slim.count()
     idf = spark.sparkContext.broadcast(idf_table(full, size))
     signed = staged(_signatures(full, idf, size, bands, rows).groupBy("node").agg(F.first("bands").alias("bands")), "near-bands")
@@ -186,10 +191,11 @@ def _classes(slim: DataFrame, edges: DataFrame, total: int) -> DataFrame:
     multi = join_by_weight(nodes, several, "cls", "n", total).select("node", "copies", "keep", "class_size")
     by_node = single.unionByName(multi)
     rows = join_by_weight(slim, by_node, "node", "copies", total)
-    return rows.select("doc_id", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("keep.row")).alias("kept"))
+    return rows.select("doc_id", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("keep.row")).alias("kept"), "row")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, with all their columns. Needs unique, non-null doc ids."""
-    kept = near_duplicates(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(kept, doc_id, "left_semi")
+    """The rows of ``docs`` that near_duplicates() keeps, with all their columns; null and repeated doc ids are no matter."""
+    rows, row = numbered(docs)
+    kept = _decided(rows, text, doc_id, F.col(row)).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -16,7 +16,7 @@ from .tokens import encoder
 
 #: Characters of a shard, the unit that one task packs in memory.
 SHARD_CHARS = 4_000_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 def round_robin(sizes: dict, share: dict, deficit: dict, start: int, window: int):
@@ -73,7 +73,8 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     long texts are cut at window ends like any other. Repeated rows are packed each. An empty table gives no pieces.
     Other columns are ignored.
     """
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), text_or_empty(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
+    # doc ids go through pandas as text, which keeps nulls and all digits
+    narrow = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(source).cast("string").alias("source"), text_or_empty(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
     chars = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
     narrow = narrow.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards)))
@@ -111,6 +112,7 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         for s, item, begin, n, at in round_robin({s: [len(ids[k]) for k in q] for s, q in queues.items()}, share, owed, int(plan["at"].iloc[0]), window):
             k = queues[s][item]
             out.append((docs_[k], begin, n, zlib.crc32(ids[k][begin : begin + n]), len(ids[k]), at // window, at % window, s))
-        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    return narrow.groupBy("shard").cogroup(plan.groupBy("shard")).applyInPandas(packed, PIECES)
+    pieces = narrow.groupBy("shard").cogroup(plan.groupBy("shard")).applyInPandas(packed, PIECES)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 from .shingles import batches_of, mixed
@@ -186,23 +188,41 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     return train(x[found["trusted"].to_numpy(bool)], x[found["other"].to_numpy(bool)])
 
 
+def _scores(model: Model, make: Featurizer, texts: list[str | None]) -> np.ndarray:
+    texts = [t or "" for t in texts]
+    score = np.concatenate([model.score(make(texts[k : k + 512])) for k in range(0, len(texts), 512)] or [np.zeros(0)])
+    score[[not t or t.isspace() for t in texts]] = 0.0
+    return score
+
+
 def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (without ``text``) with score and predicted.
 
     A score reads nothing but the whole text; texts without words (and nulls) score 0. Empty tables give empty results.
     """
-    schema = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
+    schema = T.StructType([f for f in docs.schema if f.name != text]).add("score", "double").add("predicted", "int")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         make = Featurizer()
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text]]
-            score = np.concatenate([shared.value.score(make(texts[k : k + 512])) for k in range(0, len(texts), 512)] or [np.zeros(0)])
-            score[[not t or t.isspace() for t in texts]] = 0.0
-            yield b.drop(columns=[text]).assign(score=score, predicted=(score >= threshold).astype(np.int32))
+            score = _scores(shared.value, make, b.column(text).to_pylist())
+            kept = b.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept.schema.names, "score", "predicted"])
+
+    return docs.mapInArrow(scored, schema)
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(batches):
+        make = Featurizer()
+        for b in batches:
+            yield b.filter(pa.array(_scores(shared.value, make, b.column(text).to_pylist()) >= threshold))
 
-    return docs.mapInPandas(scored, ", ".join([*schema, "score double", "predicted int"]))
+    return docs.mapInArrow(good, docs.schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:

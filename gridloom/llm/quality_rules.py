@@ -93,10 +93,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     keyed = rows.join(F.broadcast(languages), F.col("lang").cast("string") == F.col("key"), "left")
     top = common_words(keyed.select("key", "words"))
     words = spark.createDataFrame(top.select(F.coalesce("key", F.lit("")).alias("k"), "all", "common").toArrow())
-    everyone = words.filter("all").select(F.col("common").alias("common_all"))
+    everyone = next((r["common"] for r in words.filter("all").collect()), [])
     own = words.filter("NOT all").select(F.col("k").alias("key"), "common")
-    keyed = keyed.join(F.broadcast(own), "key", "left").join(F.broadcast(everyone), F.lit(True), "left")
-    keyed = keyed.withColumn("common", F.coalesce("common", "common_all", F.array().cast("array<string>"))).drop("common_all")
+    keyed = keyed.join(F.broadcast(own), "key", "left").withColumn("common", F.coalesce("common", F.array(*map(F.lit, everyone)).cast("array<string>")))
     keyed = keyed.withColumn("hits", F.filter("words", lambda w: F.array_contains("common", w)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _repeats(keyed.withColumn("lines", lines)).select(
@@ -120,8 +119,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     sums = [F.array(*[at(c, i) for i in range(k)]).alias(f"{c}_sum") for c, k in n.items()]
     reference = spark.createDataFrame(slim.groupBy("key").agg(*sums).unionByName(slim.groupBy(F.lit("").alias("key")).agg(*sums)).toArrow())
     by_key = reference.filter("key IS NULL OR key <> ''").withColumnRenamed("key", "_key")
-    judged = slim.join(F.broadcast(by_key), F.col("key").eqNullSafe(F.col("_key")), "left").join(F.broadcast(reference.filter("key = ''").select(F.col("classes_sum").alias("all_classes"))), F.lit(True), "left")
-    wanted = F.when(F.col("key").isNull(), F.col("all_classes")).otherwise(F.col("classes_sum"))
+    all_classes = F.array(*[F.lit(n) for n in reference.filter("key = ''").first()["classes_sum"]])
+    judged = slim.join(F.broadcast(by_key), F.col("key").eqNullSafe(F.col("_key")), "left")
+    wanted = F.when(F.col("key").isNull(), all_classes).otherwise(F.col("classes_sum"))
     hist_sum = F.slice("hist_sum", 1, F.size("hist"))
     judged = judged.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_WORDS, js_distance(_probabilities(F.col("classes")), _probabilities(wanted))))
     judged = judged.withColumn("word_distance", F.when(F.col("n_words") >= COMMON_WORDS, js_distance(_probabilities(F.col("hist")), _probabilities(hist_sum))))
