@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import staged_path
 from .exact_dedup import exact_duplicates
 from .language_id import language_id
+from .license_texts import TEXTS
+from .licenses import known_licenses, scan_licenses
 from .mixing import mix_to_weights
 from .near_dedup import near_duplicates
 from .packing import pack_by_mixture
+from .preference import preference_pairs
 from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .token_files import token_digests, write_token_files
@@ -43,6 +47,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark, TEXTS))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair; spans are written as text."""
+    turns = _table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2).alias("odd"), "turn", "role", "text")
+    pairs = preference_pairs(turns.filter("odd = 0 OR odd IS NULL"), turns.filter("odd <> 0"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["from"], s["to"])), ",")
+    return pairs.select("pair_id", "segment", "chunk", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("loss_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
