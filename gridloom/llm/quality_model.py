@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold:
 
     A score reads nothing but the whole text; texts without words (and nulls) score 0. Empty tables give empty results.
     """
-    schema = T.StructType([f for f in docs.schema if f.name != text]).add("score", "double").add("predicted", "int")
+    schema = T.StructType([f for f in docs.schema if f.name != text]).add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
