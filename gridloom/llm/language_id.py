@@ -180,14 +180,15 @@ def _word_rows(net: Network):
 
 
 def identify_languages(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (without ``text``) with lang_pred and score.
+    """The rows of ``docs`` (without ``text``) with lang_pred and score, in place of columns of these names.
 
     The network reads a text word by word: a unit is a word with the spaces beside it, at most UNIT_BYTES bytes, and
     starts from zero states. So equal words have equal positions, and a worker runs each distinct word once. Every
     position of the whole text has label probabilities; the document's are their mean, the score is the largest.
     A text that is null or has no letter is ``und`` with score 0, as is every text without a network.
     """
-    schema = T.StructType([f for f in docs.schema if f.name != text]).add("lang_pred", "string").add("score", "double")
+    docs = docs.select(text, *[c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")])
+    schema = T.StructType(docs.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def predicted(batches):

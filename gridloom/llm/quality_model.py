@@ -196,11 +196,12 @@ def _scores(model: Model, make: Featurizer, texts: list[str | None]) -> np.ndarr
 
 
 def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (without ``text``) with score and predicted.
+    """The rows of ``docs`` (without ``text``) with score and predicted, in place of columns of these names.
 
     A score reads nothing but the whole text; texts without words (and nulls) score 0. Empty tables give empty results.
     """
-    schema = T.StructType([f for f in docs.schema if f.name != text]).add("score", "double").add("predicted", "integer")
+    docs = docs.select(text, *[c for c in docs.columns if c.lower() not in (text.lower(), "score", "predicted")])
+    schema = T.StructType(docs.schema.fields[1:]).add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
