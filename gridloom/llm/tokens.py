@@ -1,86 +1,97 @@
-"""Encoding whole texts with a public tokenizer, each distinct chunk between spaces once."""
+"""Encoding whole texts with a public tokenizer, each distinct piece once."""
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 #: Fixed values, as the tokenizer file has them: its normalizers and the pattern of its pre-tokenizer.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: For chunks of printable ASCII and Latin-1 letters, the same pattern over lower-cased text.
-_PLAIN = re.compile(r"[!-~À-ÖØ-Þà-öø-ÿ]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
-#: Cached chunks at most, their longest length, and the characters encoded at once.
-CACHE_CHUNKS, CACHE_LENGTH, BATCH_CHARS = 400_000, 48, 4_000_000
+#: For printable ASCII and Latin-1 letters, the same pattern over lower-cased text.
+_PLAIN_TEXT = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n a-z0-9ß-öø-ÿ]+")
+#: Pieces (and odd chunks) a worker remembers, the longest such, and the characters encoded at once.
+CACHE_PIECES, CACHE_CHUNKS, CACHE_LENGTH, BATCH_CHARS = 300_000, 50_000, 48, 2_000_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write bytes as: printable ones stand for themselves, the rest follow from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Memory(dict):
+    """A dictionary of two generations: what is asked for again lives on when the older one goes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most // 2, {}
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
 
 
 class ChunkEncoder:
     """encode(texts) gives what the tokenizer's own encode(text, add_special_tokens=False) gives, as id arrays.
 
-    Where the file's normalizers and pre-tokenizer are the known ones, white space always ends a piece, so texts are
-    cut at spaces, tabs and line ends and each distinct chunk is encoded once. Other tokenizers encode whole texts.
+    Where the file's normalizers and pre-tokenizer are the known ones and a text is plain, so that lower-casing and
+    cutting are too, the library's model encodes each distinct piece once. Of other texts each distinct chunk between
+    white space is encoded once by the whole tokenizer, since no piece goes over white space. Other tokenizers encode
+    whole texts.
     """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [{}])[0]
-        self.by_chunk = [n["type"] for n in norm.get("normalizers", [])] == NORMALIZERS and first.get("pattern") == {"Regex": PIECES}
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.pieces = Tokenizer(self.tok.model)
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        cache = self.cache
-        split: dict[str, list[str]] = {}
-        other: list[str] = []
-        for c in chunks:
-            if "ß" not in c and "<|" not in c and _PLAIN.fullmatch(c):
-                split[c] = _PIECE.findall(c.lower())
-            else:
-                other.append(c)
-        parts = sorted({p for x in split.values() for p in x})
-        known: dict[str, bytes] = {}
-        for k in range(0, len(parts), 5000):
-            some = parts[k : k + 5000]
-            e = self.pieces.encode(" ".join(some), add_special_tokens=False)
-            word = np.array(e.word_ids)
-            at = np.flatnonzero(np.diff(word, prepend=-1))
-            raw, n = self._raw(e.ids), np.dtype(self.dtype).itemsize
-            known.update(zip(some, [raw[n * a : n * b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(word)], strict=True)], strict=True))
-        for c, x in split.items():
-            cache[c] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
-        for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            cache[c] = self._raw(e.ids)
+        self.by_piece = [n["type"] for n in norm.get("normalizers", [])] == NORMALIZERS and first.get("pattern") == {"Regex": PIECES}
+        self.code, self.dtype = ("H", np.uint16) if self.tok.get_vocab_size() <= 1 << 16 else ("I", np.uint32)
+        self.pieces, self.chunks = _Memory(CACHE_PIECES), _Memory(CACHE_CHUNKS)
+
+    def _piece(self, p: str) -> bytes:
+        letters = p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _chunk(self, c: str) -> bytes:
+        return array(self.code, self.tok.encode(c, add_special_tokens=False).ids).tobytes()
+
+    @staticmethod
+    def _known(memory: _Memory, lists: list[list[str]], make) -> list[bytes]:
+        memory.age()
+        older, new = memory.older, set().union(*lists).difference(memory)
+        for x in new:
+            memory[x] = older[x] if x in older else make(x)
+        get = memory.__getitem__
+        out = [b"".join(map(get, x)) for x in lists]
+        for x in new:
+            if len(x) > CACHE_LENGTH:
+                del memory[x]
+        return out
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_chunk:
+        if not self.by_piece:
             return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            self.cache[""] = b""
-            new = set().union(*cut).difference(self.cache)
-        self._learn(sorted(new))
-        get = self.cache.__getitem__
-        out = [np.frombuffer(b"".join(map(get, c)), self.dtype) for c in cut]
-        for c in new:
-            if len(c) > CACHE_LENGTH:
-                del self.cache[c]
-        return out
+        plain = [bool("<|" not in t and _PLAIN_TEXT.fullmatch(t)) for t in texts]
+        cut = self._known(self.pieces, [_PIECE.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p], self._piece)
+        odd = self._known(self.chunks, [t.replace("\n", " ").replace("\t", " ").split(" ") for t, p in zip(texts, plain, strict=True) if not p], self._chunk)
+        cut, odd = iter(cut), iter(odd)
+        return [np.frombuffer(next(cut if p else odd), self.dtype) for p in plain]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
