@@ -7,9 +7,11 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged, text_or_empty
 from .tokens import encoder
@@ -63,7 +65,8 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     """Pieces of all documents in windows of ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     Every document's ids (its encoded text, then ``end_id``) lie on one long tape that is cut into windows; only the
-    tape's last window can be short. Documents are dealt to shards by hash. A first pass counts ids by shard and source;
+    tape's last window can be short. Documents are dealt to shards by hash. A first pass encodes them where they are,
+    writes their ids and counts ids by shard and source;
     running sums of the counts give each shard its place on the tape and, for each source, the deficit that all shards
     before have left it: its share of the tape so far, less what they hold of it. With these a second pass packs all
     shards at once, as one round-robin over the whole tape would carry its deficits from window to window. A source's
@@ -79,12 +82,17 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     shards = max(1, -(-chars // SHARD_CHARS))
     narrow = narrow.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards)))
 
-    def counted(batches):
+    def encoded(batches):
         for b in batches:
-            n = [len(x) + 1 for x in encoder(tokenizer).encode(b["text"].tolist())]
-            yield pd.DataFrame({"shard": b["shard"], "source": b["source"], "n": n}).groupby(["shard", "source"], dropna=False, as_index=False).sum()
-
-    counts = staged(narrow.select("shard", "source", "text").mapInPandas(counted, "shard long, source string, n long").groupBy("shard", "source").agg(F.sum("n").alias("n")), "pack-counts")
+            ids = encoder(tokenizer).encode(b.column("text").to_pylist())
+            wide = [np.append(x, x.dtype.type(end_id)).astype("<u4").tobytes() if x.dtype != np.uint16 else np.append(x, np.uint16(end_id)).tobytes() for x in ids]
+            width = [2 if x.dtype == np.uint16 else 4 for x in ids]
+            kept = b.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(width, pa.int32()), pa.array(wide, pa.binary())], [*kept.schema.names, "n", "width", "ids"])
+
+    schema = T.StructType([f for f in narrow.schema if f.name != "text"]).add("n", "long").add("width", "integer").add("ids", "binary")
+    narrow = staged(narrow.mapInArrow(encoded, schema), "pack-ids")
+    counts = staged(narrow.groupBy("shard", "source").agg(F.sum("n").alias("n")), "pack-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     starts = counts.groupBy("shard").agg(F.sum("n").alias("n")).select(F.col("shard").alias("_shard"), earlier(W.orderBy("shard")).alias("at"))
@@ -101,7 +109,7 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     def packed(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         key = lambda s: s if isinstance(s, str) else None
         rows = rows.sort_values(["h", "doc_id"], kind="stable")
-        ids = [np.append(x, x.dtype.type(end_id)).astype("<u4") for x in encoder(tokenizer).encode(rows["text"].tolist())]
+        ids = [np.frombuffer(x, "<u2" if w == 2 else "<u4").astype("<u4") for x, w in zip(rows["ids"], rows["width"], strict=True)]
         names, docs_ = [key(s) for s in rows["source"]], rows["doc_id"].tolist()
         queues: dict = {s: [] for s in sorted({*names}, key=lambda s: (s is None, s or ""))}
         for k, s in enumerate(names):
