@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.storage import staged, staged_path
+
+__all__ = ["SPACE", "WORD", "join_by_weight", "join_small_or_salted", "numbered", "staged", "staged_path", "text_or_empty"]
+
 #: Fixed values of the result contracts: a word, and a white-space character.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,29 +16,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A table is broadcast only while its counted rows stay at or under this.
 BROADCAST_ROWS = 100_000
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a folder of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="gridloom-"))
-    return _own_dir[0]
-
-
-def staged_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write the rows to the shared folder once and go on from there: later steps neither recompute them nor depend on an executor's disk."""
-    path = staged_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a number each, written once so that the numbers stay, and the new column's name."""
@@ -64,7 +42,7 @@ def join_small_or_salted(rows: DataFrame, table: DataFrame, key: str, how: str =
         return rows.join(F.broadcast(small), match, how).drop("_key")
     salts = 64
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
-    right = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     # a null-safe key that Spark can hash: the key and whether it is null
     zero = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     on = (zero(key) == zero("_key")) & (F.col(key).isNull() == F.col("_key").isNull()) & (F.col("_salt") == F.col("_salt2"))

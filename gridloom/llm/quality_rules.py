@@ -117,9 +117,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     n = {"classes": len(CLASSES) + 1, "hist": COMMON + 1}
     at = lambda c, i: F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0))
     sums = [F.array(*[at(c, i) for i in range(k)]).alias(f"{c}_sum") for c, k in n.items()]
-    reference = spark.createDataFrame(slim.groupBy("key").agg(*sums).unionByName(slim.groupBy(F.lit("").alias("key")).agg(*sums)).toArrow())
-    by_key = reference.filter("key IS NULL OR key <> ''").withColumnRenamed("key", "_key")
-    all_classes = F.array(*[F.lit(n) for n in reference.filter("key = ''").first()["classes_sum"]])
+    # a row a language, LEAST_SHARE bounds them
+    reference = slim.groupBy("key").agg(*sums).toArrow()
+    all_classes = F.array(*[F.lit(sum(x[i] for x in reference["classes_sum"].to_pylist())) for i in range(n["classes"])])
+    by_key = spark.createDataFrame(reference).withColumnRenamed("key", "_key")
     judged = slim.join(F.broadcast(by_key), F.col("key").eqNullSafe(F.col("_key")), "left")
     wanted = F.when(F.col("key").isNull(), all_classes).otherwise(F.col("classes_sum"))
     hist_sum = F.slice("hist_sum", 1, F.size("hist"))
