@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,31 +182,26 @@ class Frame:
     def describe(self) -> DataFrame:
         """A row a column: column, count, mean, std (population), min, 25%, 50%, 75%, max.
 
-        A quartile is the value at place floor(n * q) of the sorted values. Columns that aren't numeric have NaN
-        everywhere. Quartiles come from counts of distinct values, so no task holds a whole column.
+        A quartile is the value at place floor(n * q) of the sorted values, found by ranges, so that no task sorts a
+        whole column. Columns that aren't numeric, or have no values, have NaN everywhere. Runs jobs; the result is local.
         """
+        names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+        make = {"count": F.count, "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
         numeric = [f.name for f in self.df.schema if is_number(f.dataType)]
+        aggs = [m(F.col(c)).cast("double").alias(f"{s}{k}") for k, c in enumerate(numeric) for s, m in make.items()]
+        stats = self.df.agg(*aggs).first() if aggs else None
         out = []
-        if numeric:
-            stats = ["count", "mean", "std", "min", "max"]
-            make = {"count": F.count, "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-            wide = self.df.agg(*[make[s](F.col(c)).cast("double").alias(f"{s}{k}") for k, c in enumerate(numeric) for s in stats])
-            rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{s}{k}").alias(s) for s in stats]) for k, c in enumerate(numeric)]
-            basic = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-            values = self.df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "column", "v").filter("v IS NOT NULL")
-            counts = values.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-            upto = F.sum("n").over(W.partitionBy("column").orderBy("v"))
-            total = F.sum("n").over(W.partitionBy("column"))
-            at = counts.withColumn("upto", upto).withColumn("total", total)
-            quartiles = at.groupBy("column").agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("total") * q), F.col("v"))).alias(f"{int(q * 100)}%") for q in (0.25, 0.5, 0.75)])
-            full = basic.join(quartiles, "column", "left")
-            names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-            out.append(full.select("column", *[F.when(F.col("count") == 0, F.lit(NAN)).otherwise(F.col(f"`{s}`")).alias(s) for s in names]))
-        others = [f.name for f in self.df.schema if not is_number(f.dataType)]
-        if others:
-            names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-            out.append(self.df.sparkSession.createDataFrame([(c, *[NAN] * 8) for c in others], "column string, " + ", ".join(f"`{n}` double" for n in names)))
-        return reduce(DataFrame.unionByName, out)
+        for c in self.columns:
+            row = dict.fromkeys(names, NAN)
+            k = numeric.index(c) if c in numeric else None
+            if k is not None and stats[f"count{k}"]:
+                row |= {s: stats[f"{s}{k}"] for s in make}
+                places = {f"{int(q * 100)}%": int(row["count"] * q) for q in (0.25, 0.5, 0.75)}
+                values = self.df.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
+                found = {r["_i"]: r["v"] for r in with_ordinal(values, ["v"]).filter(F.col("_i").isin(*places.values())).collect()}
+                row |= {name: found[i] for name, i in places.items()}
+            out.append((c, *[row[n] for n in names]))
+        return self.df.sparkSession.createDataFrame(out, "column string, " + ", ".join(f"`{n}` double" for n in names))
 
     # windows and reshaping --------------------------------------------------------------------------------------
 
@@ -287,7 +280,3 @@ class Frame:
 
     def __repr__(self) -> str:
         return f"Frame({', '.join(f'{n}: {k}' for n, k in self.df.dtypes)})"
-
-
-def apply_columns(df: DataFrame, f: Callable[[str], Column]) -> DataFrame:
-    return df.select(*[f(c).alias(c) for c in df.columns])
