@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .bloom import filter_bits, marked_bits, possible
 from .common import SPACE, join_by_weight, numbered, staged, text_or_empty
 
-#: Probes of the filter, its bits a row, and the least and most bits: at most 2**28 bits (32 MB) are ever broadcast.
-PROBES, BITS_A_ROW, LEAST_BITS, MOST_BITS = 4, 16, 1 << 16, 1 << 28
-
-
-def filter_bits(rows: int) -> int:
-    """A power of two, about BITS_A_ROW bits a row, within the fixed bounds."""
-    want = max(LEAST_BITS, min(MOST_BITS, rows * BITS_A_ROW))
-    return 1 << (want - 1).bit_length()
-
-
-def _probes(bits: int):
-    return [F.pmod(F.xxhash64("sha", F.lit(i)), F.lit(bits)) for i in range(PROBES)]
-
-
-def repeated_bits(digests: DataFrame, bits: int) -> np.ndarray:
-    """Pass 1: the filter of positions that two rows or more have set, as 64-bit words.
-
-    Counting positions is an ordinary two-step aggregation, so no task holds a whole filter; what reaches the driver
-    is at most ``bits`` / 64 words, bounded by MOST_BITS.
-    """
-    at = digests.select(F.explode(F.array(*_probes(bits))).alias("at"))
-    twice = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    words = twice.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("mask"))
-    table = words.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[table["word"].to_numpy()] = table["mask"].to_numpy()
-    return out
-
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
@@ -57,7 +27,6 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def _decided(docs: DataFrame, text: str, doc_id: str, row: Column) -> DataFrame:
     """As exact_duplicates(), with each row's number."""
-    spark = docs.sparkSession
     digests = staged(
         docs.select(
             row.alias("row"),
@@ -68,18 +37,8 @@ def _decided(docs: DataFrame, text: str, doc_id: str, row: Column) -> DataFrame:
         "digests",
     )
     total = digests.count()
-    bits = filter_bits(total)
-    marked = spark.sparkContext.broadcast(repeated_bits(digests, bits))
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe_repeated(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        words, hit = marked.value, np.ones(len(a), bool)
-        for x in (a, b, c, d):
-            x = x.to_numpy(np.int64)
-            hit &= (words[x >> 6] >> (x & 63)) & 1 == 1
-        return pd.Series(hit)
-
-    tested = digests.withColumn("maybe", maybe_repeated(*_probes(bits)))
+    marked = marked_bits(digests, "sha", filter_bits(total), least=2)
+    tested = digests.withColumn("maybe", possible(digests, "sha", marked))
     alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "row")
     again = tested.filter("maybe").drop("maybe")
     best = F.min(F.struct((-F.col("n_chars")).alias("size"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")

@@ -8,19 +8,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .bloom import filter_bits, marked_bits, possible
 from .common import SPACE, join_by_weight, numbered, staged, text_or_empty
-from .shingles import ConsistentSampler, Weigher, batches_of, bucket_of, features, weighted_jaccard
+from .shingles import ConsistentSampler, Weigher, batches_of, bucket_of, features, outlines, similarity_bound, unpacked, weighted_jaccard
 
 #: Words of a shingle, the least similarity, bands and rows of a band (a pair at 0.8 shares a band with probability 0.995).
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 10, 4
-#: Document frequencies are counted in this many hash buckets (8 MB), so they hardly grow with the corpus: with 500
-#: shingles a document, chance adds 1 in 2,000 documents to each count.
-BUCKETS = 1 << 20
+#: Document frequencies are counted in this many hash buckets (2 MB), so what they take doesn't grow with the corpus: with
+#: 500 shingles a document, chance adds 1 in 500 documents to each count.
+BUCKETS = 1 << 18
+#: Nodes of a bucket that one other node is compared to at once.
+BLOCK = 64
 
 
 def idf_table(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """From all rows of (text): 1 + ln((1 + documents) / (1 + documents with a shingle of the bucket)) for each bucket."""
+    """From all rows of (text): an inverse document frequency between 1 and 1.5 for each bucket.
+
+    It is 1 + ln((1 + n) / (1 + df)) / (2 ln(1 + n)). Its bound matters: the shingles that an edit makes are new to the
+    corpus, while those that thousands of copies share are frequent, so that unbounded weights would pull copies of one
+    text apart the more the more of them there are.
+    """
 
     def counted(batches):
         n = np.zeros(BUCKETS, np.int64)
@@ -37,26 +46,30 @@ def idf_table(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
     df = np.zeros(BUCKETS)
     df[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     n = texts.count()
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n)))).astype(np.float32)
+    return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / (2 * np.log(2 + n))).astype(np.float32)
 
 
 def _signatures(texts: DataFrame, idf, size: int, bands: int, rows: int) -> DataFrame:
-    """(node, bands): for each row of (node, text) a 64-bit key for each band; none for texts without words."""
+    """(node, bands, outline, rarity): for each row of (node, text) a 64-bit key for each band, its outline and the mean idf of
+    its shingles; nothing for texts without words."""
 
     def signed(batches):
         sample, weigh = ConsistentSampler(bands * rows), Weigher(idf.value)
         for b in batches:
             for first, lists in batches_of(b["text"].tolist()):
                 owner, feature, tf = features(lists, size)
-                found = sample(owner, feature, weigh(feature, tf), len(lists))
+                weight = weigh(feature, tf)
+                found = sample(owner, feature, weight, len(lists))
+                outline = outlines(owner, feature, weight, len(lists))
+                rarity = np.bincount(owner, weights=weight, minlength=len(lists)) / np.maximum(np.bincount(owner, weights=tf, minlength=len(lists)), 1)
                 keys = np.zeros((len(lists), bands), np.uint64)
                 for k in range(rows):
                     keys = (keys ^ found[:, k::rows]) * np.uint64(0x9E3779B97F4A7C15)
                     keys ^= keys >> np.uint64(32)
                 has = np.array([bool(w) for w in lists])
-                yield pd.DataFrame({"node": b["node"].iloc[first : first + len(lists)][has], "bands": list(keys[has].view(np.int64))})
+                yield pd.DataFrame({"node": b["node"].iloc[first : first + len(lists)][has], "bands": list(keys[has].view(np.int64)), "outline": [x.tobytes() for x in outline[has]], "rarity": rarity[has]})
 
-    return texts.select("node", "text").mapInPandas(signed, "node binary, bands array<long>")
+    return texts.select("node", "text").mapInPandas(signed, "node binary, bands array<long>, outline binary, rarity double")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, idf, least: float, size: int, salts: int) -> DataFrame:
@@ -115,12 +128,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts link if the weighted Jaccard similarity of their TF-IDF word shingles (lower case, ``size`` words) is ``least``
     or more; a class is a connected component of links, its id the smallest doc_id in it, and that row is kept. Texts
-    with the same words are one node. Nodes that share a band's bucket are candidates. A bucket isn't paired off as a
-    whole: its first node is the hub that all others are compared to, which joins nearly all copies of one text. Where
-    nodes R stay outside the first hub's class, these become hubs in turn and are compared to every node of the bucket in
-    another class: all of R at once if there are at most 8, else about 8, 64, 512 ... of them by hash, until the
-    bucket is one class or all of R have been hubs. So no candidate link between classes is lost, and a large
-    bucket of true copies costs a few comparisons a node.
+    with the same words are one node. Nodes that share a band's bucket are candidates; the links among them are found
+    up to those within one class, without pairing off buckets:
+
+    1. A bucket's hub is its node with the least rare shingles, which of many edited copies is one with few edits. All
+       others are compared to it, and nearly all copies of one text become one class.
+    2. Nodes outside the hub's class are compared to the two likeliest of one block of about BLOCK nodes of the bucket,
+    3. those still outside to the four likeliest of each of its blocks,
+    4. and those still outside to all the rest.
+
+    Outlines (weights by hash group) give a bound that a similarity can't pass; pairs under it are left out before any
+    text moves, and it says which pairs are likeliest. Steps leave out pairs that are in one class by then, and no other:
+    there is no cap.
 
     Nulls: a null text is empty; texts without words are equal to each other only; a null doc_id sorts last and stays
     null. Texts of fewer than ``size`` words have one shingle of them all. Repeated rows are rows of a class of which
@@ -137,47 +156,79 @@ def _decided(docs: DataFrame, text: str, doc_id: str, row: Column, size: int = S
     slim = staged(full.select("row", "doc_id", "node"), "near-rows")
     total = slim.count()
     idf = spark.sparkContext.broadcast(idf_table(full, size))
-    signed = staged(_signatures(full, idf, size, bands, rows).groupBy("node").agg(F.first("bands").alias("bands")), "near-bands")
-    edges = _links(spark, full, signed, idf, total, size, least)
+    signed = staged(_signatures(full, idf, size, bands, rows).groupBy("node").agg(F.first(F.struct("bands", "outline", "rarity")).alias("s")).select("node", "s.*"), "near-bands")
+    edges = _links(full, signed, idf, total, size, least)
     return _classes(slim, edges, total)
 
 
-def _links(spark, full: DataFrame, signed: DataFrame, idf, total: int, size: int, least: float) -> DataFrame:
-    at = signed.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    buckets = at.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = staged(join_by_weight(at, buckets, "bucket", "n", total), "near-members")
-    # one text for each node in a shared bucket: that of its smallest document
+@F.pandas_udf(T.BooleanType())
+def _may_reach(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series(similarity_bound(unpacked(a.tolist()), unpacked(b.tolist())) >= least.to_numpy() if len(a) else np.zeros(0, bool))
+
+
+def _likeliest(rows: DataFrame, least: float, low: int, high: int | None) -> DataFrame:
+    """From (node, cls, outline, block): pairs of a node and block members in other classes, those ranked from ``low`` to ``high`` by bound.
+
+    Ranks count all members that may reach ``least``, so they stay the same from step to step.
+    """
+
+    def ranked(batches):
+        for b in batches:
+            nodes, hubs = [], []
+            for node, cls, outline, block in zip(b["node"], b["cls"], b["outline"], b["block"], strict=True):
+                bound = similarity_bound(unpacked([outline]), unpacked([x["outline"] for x in block]))
+                order = [k for k in np.argsort(-bound, kind="stable").tolist() if bound[k] >= least and bytes(block[k]["node"]) != bytes(node)]
+                for k in order[low:high]:
+                    if bytes(block[k]["cls"]) != bytes(cls):
+                        nodes.append(node)
+                        hubs.append(block[k]["node"])
+            yield pd.DataFrame({"node": nodes, "hub": hubs})
+
+    return rows.select("node", "cls", "outline", "block").mapInPandas(ranked, "node binary, hub binary")
+
+
+def _links(full: DataFrame, signed: DataFrame, idf, total: int, size: int, least: float) -> DataFrame:
+    at = signed.select("node", "rarity", F.posexplode("bands").alias("band", "key")).select("node", "rarity", F.xxhash64("band", "key").alias("bucket"))
+    shared = staged(at.groupBy("bucket").agg(F.min(F.struct("rarity", "node")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "n", F.col("first.node").alias("main")), "near-buckets")
+    outline = lambda name: signed.select(F.col("node").alias(name), F.col("outline").alias(f"{name}_outline"))
+    buckets = shared.join(outline("main"), "main")
+    members = join_by_weight(at.select("bucket", "node"), buckets, "bucket", "n", total)
+    members = staged(members.join(outline("node"), "node"), "near-members")
     wanted = members.select("node").distinct()
-    texts = staged(full.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    salts = max(1, total // 200)
-    pairs = members.filter(F.col("node") != F.col("first")).select("node", F.col("first").alias("hub")).distinct()
+    n_wanted = wanted.count()
+    marked = marked_bits(wanted, "node", filter_bits(n_wanted))
+    # the filter spares the shuffle most texts that no bucket asks for; the join leaves out the rest
+    texts = full.select("node", "text").filter(possible(full, "node", marked)).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts, salts = staged(texts, "near-texts"), max(1, total // 200)
+    pairs = members.filter((F.col("node") != F.col("main")) & _may_reach("node_outline", "main_outline", F.lit(least))).select("node", F.col("main").alias("hub")).distinct()
     edges = checked = None
-    t = 0
-    while True:
+    for step in range(1, 5):
         pairs = staged(pairs, "near-pairs")
         found = staged(_similar(pairs, texts, idf, least, size, salts), "near-links")
         edges = found if edges is None else edges.unionByName(found)
         checked = pairs if checked is None else checked.unionByName(pairs)
-        if pairs.isEmpty():
-            return edges
+        if step == 4:
+            break
         labels = connected(edges)
         labelled = lambda x, name, to: x.join(labels.select(F.col("node").alias(name), F.col("cls").alias("_c")), name, "left").withColumn(to, F.coalesce("_c", name)).drop("_c")
-        now = labelled(labelled(members, "node", "cls"), "first", "main")
-        outside = now.filter(F.col("cls") != F.col("main"))
-        rest = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"), F.first("n").alias("n"))
-        t += 1
-        # buckets in which all outside had their turn are done: their R only shrinks
-        open_ = staged(rest.filter(F.col("rest") > (0 if t == 1 else 8 ** (t - 1))), "near-open")
-        if open_.isEmpty():
-            return edges
-        turn = F.pmod(F.xxhash64("hub", F.lit(t)), F.col("rest")) < 8**t
-        hubs = join_by_weight(outside.select("bucket", F.col("node").alias("hub"), F.col("cls").alias("hub_cls")), open_, "bucket", "n", total).filter((F.col("rest") <= 8**t) | turn)
-        met = join_by_weight(now.select("bucket", "node", "cls"), hubs, "bucket", "n", total).filter("cls <> hub_cls")
-        # either of two hubs may have been compared to the other
-        one = met.select(F.when((F.col("node") < F.col("hub")), F.col("node")).otherwise(F.col("hub")).alias("a"), F.greatest("node", "hub").alias("b"), "node", "hub")
-        new = one.groupBy("a", "b").agg(F.first(F.struct("node", "hub")).alias("p")).select("p.node", "p.hub", "a", "b")
+        mains = labelled(shared.select("bucket", "main", "n"), "main", "main_cls")
+        inside = labelled(members.select("bucket", "node", F.col("node_outline").alias("outline")), "node", "cls")
+        now = staged(join_by_weight(inside, mains.select("bucket", "n", "main_cls"), "bucket", "n", total), "near-now")
+        outside = now.filter("cls <> main_cls")
+        rest = staged(outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"), F.first("n").alias("n")), "near-open")
+        if rest.isEmpty():
+            break
+        blocks = lambda n: F.ceil(n / BLOCK)
+        open_ = join_by_weight(now.select("bucket", "node", "cls", "outline"), rest, "bucket", "n", total)
+        listed = open_.groupBy("bucket", "rest", F.pmod(F.xxhash64("node"), blocks(F.col("n"))).alias("part")).agg(F.collect_list(F.struct("node", "cls", "outline")).alias("block"))
+        met = join_by_weight(outside.select("bucket", "node", "cls", "outline", "n"), listed, "bucket", "rest", total)
+        if step == 1:
+            met = met.filter(F.col("part") == F.pmod(F.xxhash64("node", F.lit(5)), blocks(F.col("n"))))
+        new = _likeliest(met, least, *((0, 2), (0, 4), (0, None))[step - 1])
+        one = new.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.first(F.struct("node", "hub")).alias("p"))
         old = checked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        pairs = new.join(old, ["a", "b"], "left_anti").select("node", "hub")
+        pairs = one.join(old, ["a", "b"], "left_anti").select("p.node", "p.hub")
+    return edges
 
 
 def _classes(slim: DataFrame, edges: DataFrame, total: int) -> DataFrame:

@@ -93,6 +93,31 @@ def bucket_of(feature: np.ndarray, buckets: int) -> np.ndarray:
     return (feature & np.uint64(buckets - 1)).astype(np.int64)
 
 
+#: Hash groups of an outline.
+GROUPS = 128
+
+
+def outlines(owner: np.ndarray, feature: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """For each text GROUPS bytes and a scale: what its features of each hash group weigh together, rounded up to steps of the scale."""
+    group = ((feature >> np.uint64(FEATURE_BITS - 7)) & np.uint64(GROUPS - 1)).astype(np.int64)
+    sums = np.bincount(owner * GROUPS + group, weights=weight, minlength=texts * GROUPS).reshape(texts, GROUPS)
+    scale = np.maximum(sums.max(axis=1) / 254, 1e-30).astype(np.float32)
+    steps = np.ceil(sums / scale[:, None] * (1 - 1e-6)).astype(np.uint8)
+    return np.concatenate([steps, scale.view(np.uint8).reshape(texts, 4)], axis=1)
+
+
+def unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest weights by group of outlines."""
+    rows = np.frombuffer(b"".join(map(bytes, packed)), np.uint8).reshape(-1, GROUPS + 4)
+    steps, scale = rows[:, :GROUPS].astype(np.float32), rows[:, GROUPS:].copy().view(np.float32)
+    return np.maximum(steps - 1, 0) * scale, steps * scale * np.float32(1.0001)
+
+
+def similarity_bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What the weighted Jaccard similarity of two texts is at most: groups share no more than the lesser of their weights."""
+    return np.minimum(a[1], b[1]).sum(axis=1) / np.maximum(np.maximum(a[0], b[0]).sum(axis=1), 1e-30)
+
+
 def _gamma_quantiles(n: int) -> np.ndarray:
     """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
     x = np.concatenate([[0.0], np.geomspace(1e-6, 40, 200_000)])

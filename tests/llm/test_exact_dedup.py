@@ -4,7 +4,8 @@ import re
 import numpy as np
 
 from gridloom.llm import exact_dedup
-from gridloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, filter_bits, repeated_bits
+from gridloom.llm.bloom import PROBES, filter_bits, marked_bits, probes
+from gridloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
 
 def brute(rows):
@@ -57,11 +58,11 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
 
     rows = spark.range(20_000).select(F.unhex(F.sha2((F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") - 19_000)).cast("string"), 256)).alias("sha"))
     bits = filter_bits(20_000)
-    words = repeated_bits(rows, bits)
-    probes = rows.select("sha", *[c.alias(f"p{k}") for k, c in enumerate(exact_dedup._probes(bits))]).toPandas()
-    hit = np.ones(len(probes), bool)
-    for k in range(exact_dedup.PROBES):
-        at = probes[f"p{k}"].to_numpy()
+    words = marked_bits(rows, "sha", bits, least=2)
+    found = rows.select("sha", *[c.alias(f"p{k}") for k, c in enumerate(probes("sha", bits))]).toPandas()
+    hit = np.ones(len(found), bool)
+    for k in range(PROBES):
+        at = found[f"p{k}"].to_numpy()
         hit &= (words[at >> 6] >> (at & 63)) & 1 == 1
-    again = probes["sha"].map(bytes).duplicated(keep=False).to_numpy()
+    again = found["sha"].map(bytes).duplicated(keep=False).to_numpy()
     assert hit[again].all() and hit[~again].mean() < 0.02
