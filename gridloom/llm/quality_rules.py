@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged, text_or_empty
+from .common import SPACE, join_small_or_salted, staged, text_or_empty
 
 #: Character classes other than white space; what is in none of them is the last class.
 CLASSES = {"lower": r"\P{Ll}+", "upper": r"\P{Lu}+", "digit": r"\P{Nd}+", "punctuation": r"\P{P}+", "symbol": r"\P{S}+"}
@@ -17,8 +17,6 @@ COMMON, COMMON_LENGTH = 25, 6
 #: Jensen-Shannon distances (base 2) above which a text is rejected, and the fewest words for each comparison.
 MOST_CLASS_DISTANCE, CLASS_WORDS = 0.27, 50
 MOST_WORD_DISTANCE, COMMON_WORDS = 0.31, 100
-#: A language needs this share of all documents to have references of its own; others are held to those of all documents.
-LEAST_SHARE = 0.001
 
 
 def _sum(values: Column) -> Column:
@@ -61,14 +59,15 @@ def _with_words(docs: DataFrame, text: str, lang: str, doc_id: str) -> DataFrame
 
 
 def common_words(rows: DataFrame, most: int = COMMON) -> DataFrame:
-    """From (key, words): key, common (its most frequent short words), and a row for all keys together, whose key is null and all true."""
+    """From (key, words): key, common (its most frequent short words), times (how often each occurs), and a row for all rows together, whose key is null and all true."""
     short = F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH)
     counts = staged(rows.select("key", F.explode(short).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("key"), "word", "n", F.lit(True).alias("all"))
     both = counts.filter("key IS NOT NULL").select("key", "word", "n", F.lit(False).alias("all")).unionByName(every)
     order = W.partitionBy("all", "key").orderBy(F.col("n").desc(), "word")
     top = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    return top.groupBy("all", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("common"))
+    ranked = top.groupBy("all", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("ranked"))
+    return ranked.select("all", "key", F.col("ranked.word").alias("common"), F.col("ranked.n").alias("times"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
@@ -76,26 +75,21 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
 
     The verdict compares two histograms of a whole text, of character classes and of its language's common words, with
     those of all texts in that language, by Jensen-Shannon distance. A text with too few words for a comparison passes
-    it (the distance is then null). References are counted over all documents in two scans: one finds the common words,
-    one takes all counts; the last step works on a few numbers a document. At most 1 / LEAST_SHARE languages have
-    references of their own, which bounds what is broadcast, and no step groups texts by language, so a hot language
-    costs no more.
-
-    Nulls: a null text has no words; a null language, and one of few documents, is held to the references of all
-    documents. Empty texts fail the base rules. Repeated rows are judged each; an empty table gives no rows. Other
-    columns are ignored.
+    it (the distance is then null). References are counted over all documents in two scans: one finds the common words
+    and how often they occur, one takes all other counts; the last step works on a few numbers a document. Every
+    language has references of its own, however rare it is; their table is broadcast while its rows are few, else joined
+    by shuffle with salts, and no step groups texts by language, so a hot language costs no more.
+
+    Nulls: a null text has no words; a null language is held to the references of all documents, by the common words of
+    all. Empty texts fail the base rules. Repeated rows are judged each; an empty table gives no rows. Other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    rows = _with_words(docs, text, lang, doc_id)
-    total = docs.count()
-    languages = docs.groupBy(F.col(lang).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= LEAST_SHARE * total) & F.col("key").isNotNull()).select("key")
-    languages = spark.createDataFrame(languages.toArrow())
-    keyed = rows.join(F.broadcast(languages), F.col("lang").cast("string") == F.col("key"), "left")
-    top = common_words(keyed.select("key", "words"))
-    words = spark.createDataFrame(top.select(F.coalesce("key", F.lit("")).alias("k"), "all", "common").toArrow())
-    everyone = next((r["common"] for r in words.filter("all").collect()), [])
-    own = words.filter("NOT all").select(F.col("k").alias("key"), "common")
-    keyed = keyed.join(F.broadcast(own), "key", "left").withColumn("common", F.coalesce("common", F.array(*map(F.lit, everyone)).cast("array<string>")))
+    keyed = _with_words(docs, text, lang, doc_id).withColumn("key", F.col("lang").cast("string"))
+    top = staged(common_words(keyed.select("key", "words")), "common-words")
+    everyone = next((r["common"] for r in top.filter("all").collect()), [])
+    keyed = join_small_or_salted(keyed, top.filter("NOT all").select("key", "common"), "key", "left")
+    none = F.array().cast("array<string>")
+    keyed = keyed.withColumn("common", F.when(F.col("key").isNull(), F.array(*map(F.lit, everyone)).cast("array<string>")).otherwise(F.coalesce("common", none)))
     keyed = keyed.withColumn("hits", F.filter("words", lambda w: F.array_contains("common", w)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _repeats(keyed.withColumn("lines", lines)).select(
@@ -113,19 +107,18 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     slim = staged(counted, "rules")
     classes = F.array(*CLASSES, F.greatest(F.col("word_chars") - reduce(lambda a, b: a + b, map(F.col, CLASSES)), F.lit(0))).alias("classes")
     slim = slim.select("*", classes, F.concat("common_counts", F.array(F.col("n_words") - F.col("n_common"))).alias("hist"))
-    # sums of both histograms by language; the words of documents without a language of their own are those of all
-    n = {"classes": len(CLASSES) + 1, "hist": COMMON + 1}
-    at = lambda c, i: F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0))
-    sums = [F.array(*[at(c, i) for i in range(k)]).alias(f"{c}_sum") for c, k in n.items()]
-    # a row a language, LEAST_SHARE bounds them
-    reference = slim.groupBy("key").agg(*sums).toArrow()
-    all_classes = F.array(*[F.lit(sum(x[i] for x in reference["classes_sum"].to_pylist())) for i in range(n["classes"])])
-    by_key = spark.createDataFrame(reference).withColumnRenamed("key", "_key")
-    judged = slim.join(F.broadcast(by_key), F.col("key").eqNullSafe(F.col("_key")), "left")
-    wanted = F.when(F.col("key").isNull(), all_classes).otherwise(F.col("classes_sum"))
-    hist_sum = F.slice("hist_sum", 1, F.size("hist"))
-    judged = judged.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_WORDS, js_distance(_probabilities(F.col("classes")), _probabilities(wanted))))
-    judged = judged.withColumn("word_distance", F.when(F.col("n_words") >= COMMON_WORDS, js_distance(_probabilities(F.col("hist")), _probabilities(hist_sum))))
+    # sums by language, and of all documents, whose key is null; how often common words occur is known from finding them
+    n = len(CLASSES) + 1
+    sums = [F.array(*[F.coalesce(F.sum(F.get("classes", F.lit(i))), F.lit(0)) for i in range(n)]).alias("classes"), F.sum("n_words").alias("n_words")]
+    by_key = staged(slim.groupBy("key").agg(*sums), "rule-sums")
+    every = by_key.agg(*sums).select(F.lit(None).cast("string").alias("key"), "classes", "n_words")
+    known = by_key.filter("key IS NOT NULL").unionByName(every).join(top.select(F.col("key").alias("_key"), "times"), F.col("key").eqNullSafe(F.col("_key")), "left")
+    times = F.coalesce("times", F.array().cast("array<bigint>"))
+    total = F.aggregate(times, F.lit(0).cast("long"), lambda s, x: s + x)
+    references = staged(known.select("key", F.col("classes").alias("classes_sum"), F.concat(times, F.array(F.col("n_words") - total)).alias("hist_sum")), "rule-references")
+    judged = join_small_or_salted(slim, references, "key", "left")
+    judged = judged.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_WORDS, js_distance(_probabilities(F.col("classes")), _probabilities(F.col("classes_sum")))))
+    judged = judged.withColumn("word_distance", F.when(F.col("n_words") >= COMMON_WORDS, js_distance(_probabilities(F.col("hist")), _probabilities(F.col("hist_sum")))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passes = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes).alias("kept"), "class_distance", "word_distance")
