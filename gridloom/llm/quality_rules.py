@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,9 @@ CLASSES = {"lower": r"\P{Ll}+", "upper": r"\P{Lu}+", "digit": r"\P{Nd}+", "punct
 COMMON, COMMON_LENGTH = 25, 6
 #: Jensen-Shannon distances (base 2) above which a text is rejected, and the fewest words for each comparison.
 MOST_CLASS_DISTANCE, CLASS_WORDS = 0.27, 50
-MOST_WORD_DISTANCE, COMMON_WORDS = 0.31, 100
+MOST_WORD_DISTANCE, COMMON_WORDS = 0.31, 50
+#: Texts of fewer words are allowed, beside MOST_WORD_DISTANCE, the divergence that drawing so few words makes by chance.
+LONG_WORDS = 100
 
 
 def _sum(values: Column) -> Column:
@@ -39,6 +42,13 @@ def _probabilities(counts: Column) -> Column:
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 
+def most_word_distance(n_words: Column) -> Column:
+    """MOST_WORD_DISTANCE from LONG_WORDS words on; under it its divergence plus COMMON / (8 n ln 2), the mean that n words
+    drawn from the reference itself have over COMMON + 1 classes: 0.43 at 50 words, 0.38 at 99."""
+    by_chance = COMMON / (8 * math.log(2)) / F.greatest(n_words, F.lit(1))
+    return F.when(n_words >= LONG_WORDS, F.lit(MOST_WORD_DISTANCE)).otherwise(F.sqrt(F.lit(MOST_WORD_DISTANCE**2) + by_chance))
+
+
 def _repeats(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with ``words``: words covered by 3-word windows whose 64-bit hash occurs twice or more.
 
@@ -120,5 +130,5 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     judged = judged.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_WORDS, js_distance(_probabilities(F.col("classes")), _probabilities(F.col("classes_sum")))))
     judged = judged.withColumn("word_distance", F.when(F.col("n_words") >= COMMON_WORDS, js_distance(_probabilities(F.col("hist")), _probabilities(F.col("hist_sum")))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    passes = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE)
+    passes = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= most_word_distance(F.col("n_words")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes).alias("kept"), "class_distance", "word_distance")

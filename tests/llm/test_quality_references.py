@@ -48,3 +48,18 @@ def test_rare_and_missing_languages(rare):
 def test_references_of_many_languages_are_joined_by_shuffle(rare, monkeypatch):
     monkeypatch.setattr(quality_rules, "join_small_or_salted", lambda *a: common.join_small_or_salted(*a, limit=1))
     held_to_their_own(rare.filter("doc_id >= 9000 OR doc_id < 400"))
+
+
+def test_short_texts_are_compared_by_words(spark):
+    """Junk of 50 to 99 words is told from good texts of as few."""
+    good = [(1000 * n + k, prose(1000 * n + k, n), "en") for n in (50, 60, 75, 99) for k in range(60)]
+    bad = [(-1000 * n - k, junk(1000 * n + k, n), "en") for n in (50, 60, 75, 99) for k in range(3)]
+    docs = spark.createDataFrame(good + [(k, prose(k, 300), "en") for k in range(200)] + bad, "doc_id long, text string, lang string").repartition(4)
+    rows = [(r["doc_id"], r["kept"]) for r in quality_rules.quality_rules(docs).filter("NOT base_failed").collect()]
+    assert {kept for doc_id, kept in rows if doc_id < 0} == {False} and sum(doc_id < 0 for doc_id, _ in rows) == len(bad)
+    assert {kept for doc_id, kept in rows if doc_id >= 0} == {True}
+
+
+def test_allowance_of_short_texts(spark):
+    got = [r[0] for r in spark.createDataFrame([(50,), (99,), (100,), (5000,)], "n long").select(quality_rules.most_word_distance(F.col("n"))).collect()]
+    assert got[0] == pytest.approx(0.4316, abs=1e-3) and 0.36 < got[1] < got[0] < 0.45 and got[2:] == [0.31, 0.31]
