@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import join_small_or_salted, text_or_empty
 
-#: Lines that only say who holds the rights.
+#: Lines that only say who holds the rights: 'copyright' before (c), the sign or a year, (c) before a year, the sign, or
+#: 'all rights reserved' alone. A line of a license's body may begin with 'copyright' or '(c)' too, by wrapping.
+OWNER_LINE = r"(?m)^[ \t\r]*(?:[#*/;%-]+[ \t]*)?(?:(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*|all rights reserved[ \t\r.!*/#-]*)$"
+#: The wider expression of the DuckDB SQL, which takes every line that begins with 'copyright'; the query doesn't use it.
 COPYRIGHT_LINE = r"(?m)^[ \t\r]*(?:[#*/;%-]+[ \t]*)?(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 #: Spellings that license matching holds to be equal, each to its second form.
 SPELLINGS = {
@@ -54,8 +57,8 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one space for each run of what is no letter or digit, equal spellings made one."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), NOT_WORD, " "))
+    """Lower case, no lines that state an owner, one space for each run of what is no letter or digit, equal spellings made one."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), OWNER_LINE, ""), NOT_WORD, " "))
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS.items(), plain)
 
 
@@ -71,7 +74,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", doc_id:
     ``known`` has a row for each digest; its rows are counted, and it is broadcast only if they are few, else joined by
     shuffle with salts, since one text's copies can be a large part of all rows. Only digests move, never texts.
 
-    Nulls: a null text is empty and matches nothing; a null doc_id stays. Texts of copyright lines and punctuation only
+    Nulls: a null text is empty and matches nothing; a null doc_id stays. Texts of owner lines and punctuation only
     are empty in canonical form and match nothing either. Repeated rows are scanned each; other columns are ignored.
     """
     form = canonical(text_or_empty(text))
