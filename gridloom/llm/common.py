@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.storage import staged, staged_path
 
-__all__ = ["SPACE", "WORD", "join_by_weight", "join_small_or_salted", "numbered", "staged", "staged_path", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "join_by_weight", "join_small_or_salted", "numbered", "staged", "staged_path", "text_or_empty", "without_rows"]
 
 #: Fixed values of the result contracts: a word, and a white-space character.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def without_rows(rows: DataFrame, dropped: DataFrame, row: str, limit: int | None = None) -> DataFrame:
+    """``rows`` without those whose numbers ``dropped`` has as ``row``; the numbers are counted and broadcast only if they are few."""
+    gone = staged(dropped.select(F.col("row").alias(row)), "dropped")
+    few = gone.count() <= (BROADCAST_ROWS if limit is None else limit)
+    return rows.join(F.broadcast(gone) if few else gone, row, "left_anti").drop(row)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_bits, marked_bits, possible
-from .common import SPACE, join_by_weight, numbered, staged, text_or_empty
+from .common import SPACE, join_by_weight, numbered, staged, text_or_empty, without_rows
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -51,5 +51,4 @@ def _decided(docs: DataFrame, text: str, doc_id: str, row: Column) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that exact_duplicates() keeps, with all their columns; null and repeated doc ids are no matter."""
     rows, row = numbered(docs)
-    kept = _decided(rows, text, doc_id, F.col(row)).filter("kept").select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_semi").drop(row)
+    return without_rows(rows, _decided(rows, text, doc_id, F.col(row)).filter("NOT kept"), row)

@@ -2,125 +2,146 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import filter_bits, marked_bits, possible
-from .common import SPACE, join_by_weight, numbered, staged, text_or_empty
-from .shingles import ConsistentSampler, Weigher, batches_of, bucket_of, features, outlines, similarity_bound, unpacked, weighted_jaccard
-
-#: Words of a shingle, the least similarity, bands and rows of a band (a pair at 0.8 shares a band with probability 0.995).
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 10, 4
-#: Document frequencies are counted in this many hash buckets (2 MB), so what they take doesn't grow with the corpus: with
-#: 500 shingles a document, chance adds 1 in 500 documents to each count.
-BUCKETS = 1 << 18
-#: Nodes of a bucket that one other node is compared to at once.
-BLOCK = 64
+from .common import join_by_weight, numbered, staged, text_or_empty, without_rows
+from .components import connected
+from .shingles import (
+    ConsistentSampler,
+    Weigher,
+    arrow_bytes,
+    bucket_of,
+    features,
+    node_keys,
+    outlines,
+    runs,
+    similarity_bounds,
+    unpacked,
+    weighted_jaccard,
+    word_hashes,
+)
+
+#: Words of a shingle, the least similarity, bands and rows of a band (a pair at 0.8 shares a band with probability 0.997).
+SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 8, 3
+#: Document frequencies are counted in this many hash buckets, of which a task sends its counts in slices of SLICE.
+BUCKETS, SLICE = 1 << 18, 1 << 12
+#: A shingle in fewer than one of RARE documents has the full weight, whatever the size of the corpus.
+RARE = 64
+#: Members of a bucket in a block; blocks of a bucket are compared two at a time. Blocks of members that one copy of a
+#: block of outsiders meets; nodes of a hub that one copy of its text is compared to.
+BLOCK, REACH, PART = 256, 64, 64
 
 
 def idf_table(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """From all rows of (text): an inverse document frequency between 1 and 1.5 for each bucket.
 
-    It is 1 + ln((1 + n) / (1 + df)) / (2 ln(1 + n)). Its bound matters: the shingles that an edit makes are new to the
-    corpus, while those that thousands of copies share are frequent, so that unbounded weights would pull copies of one
-    text apart the more the more of them there are.
+    It is 1 + ln(n / df) / (2 ln RARE), and 1.5 where df is under n / RARE. What other shingles add to a bucket by
+    chance is a fixed share of n, is taken off and lies under n / RARE, so weights stay as they are at any size of the
+    corpus. The bound of 1.5 matters: the shingles that an edit makes are new to the corpus, while those that thousands
+    of copies share are frequent, so that unbounded weights would pull copies of one text apart the more the more of
+    them there are. Each task counts its own documents; its counts travel in slices of SLICE buckets and are added up a
+    slice at a time, so the driver gets BUCKETS numbers and no more.
     """
 
     def counted(batches):
         n = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, lists in batches_of(b["text"].tolist()):
-                owner, feature, _ = features(lists, size)
+            data, at = arrow_bytes(b.column(0))
+            for first, last in runs(at):
+                _, feature, _ = features(*word_hashes(data, at[first : last + 1]), size)
                 n += np.bincount(bucket_of(feature, BUCKETS), minlength=BUCKETS)
-            del owner, feature
-        at = np.flatnonzero(n)
-        for k in range(0, len(at), 100_000):
-            yield pd.DataFrame({"bucket": at[k : k + 100_000].astype(np.int32), "n": n[at[k : k + 100_000]]})
+        parts = n.reshape(-1, SLICE)
+        some = np.flatnonzero(parts.any(axis=1))
+        task = pa.array(np.full(len(some), TaskContext.get().partitionId() % 16), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), task, pa.array([parts[k].tobytes() for k in some], pa.binary())], ["slice", "task", "n"])
 
-    sums = texts.select("text").mapInPandas(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b.column("slice").to_pylist(), b.column("n").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "n"])
+
+    kind = "slice int, n binary"
+    # two steps of sums: a slice's parts are dealt to several tasks first
+    some = texts.select("text").mapInArrow(counted, "slice int, task int, n binary").repartition("slice", "task").mapInArrow(added, kind)
     df = np.zeros(BUCKETS)
-    df[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    n = texts.count()
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / (2 * np.log(2 + n))).astype(np.float32)
+    for r in some.repartition("slice").mapInArrow(added, kind).toLocalIterator():
+        df[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(bytes(r["n"]), np.int64)
+    n = max(1, texts.count())
+    # chance adds about as much to a bucket as it holds in the middle
+    df = np.maximum(df - np.median(df), 1)
+    return (1 + 0.5 * np.clip(np.log(n / df) / np.log(RARE), 0, 1)).astype(np.float32)
 
 
-def _signatures(texts: DataFrame, idf, size: int, bands: int, rows: int) -> DataFrame:
-    """(node, bands, outline, rarity): for each row of (node, text) a 64-bit key for each band, its outline and the mean idf of
-    its shingles; nothing for texts without words."""
+def _signatures(full: DataFrame, idf, size: int, bands: int, rows: int) -> DataFrame:
+    """The rows of ``full`` without text, with node (a key of the text's words), bands (a 64-bit key each; none for texts
+    without words), outline and rarity (the mean idf of its shingles)."""
 
     def signed(batches):
         sample, weigh = ConsistentSampler(bands * rows), Weigher(idf.value)
         for b in batches:
-            for first, lists in batches_of(b["text"].tolist()):
-                owner, feature, tf = features(lists, size)
+            data, at = arrow_bytes(b.column("text"))
+            rest = b.drop_columns(["text"])
+            for first, last in runs(at):
+                flat, counts = word_hashes(data, at[first : last + 1])
+                n = last - first
+                owner, feature, tf = features(flat, counts, size)
                 weight = weigh(feature, tf)
-                found = sample(owner, feature, weight, len(lists))
-                outline = outlines(owner, feature, weight, len(lists))
-                rarity = np.bincount(owner, weights=weight, minlength=len(lists)) / np.maximum(np.bincount(owner, weights=tf, minlength=len(lists)), 1)
-                keys = np.zeros((len(lists), bands), np.uint64)
+                found = sample(owner, feature, weight, n)
+                outline = outlines(owner, feature, weight, n)
+                rarity = np.bincount(owner, weights=weight, minlength=n) / np.maximum(np.bincount(owner, weights=tf, minlength=n), 1)
+                keys = np.zeros((n, bands), np.uint64)
                 for k in range(rows):
                     keys = (keys ^ found[:, k::rows]) * np.uint64(0x9E3779B97F4A7C15)
                     keys ^= keys >> np.uint64(32)
-                has = np.array([bool(w) for w in lists])
-                yield pd.DataFrame({"node": b["node"].iloc[first : first + len(lists)][has], "bands": list(keys[has].view(np.int64)), "outline": [x.tobytes() for x in outline[has]], "rarity": rarity[has]})
+                has = counts > 0
+                ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
+                node = pa.array([x.tobytes() for x in node_keys(flat, counts)], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel().view(np.int64)))
+                made = [node, lists, pa.array([x.tobytes() for x in outline], pa.binary()), pa.array(rarity)]
+                yield pa.RecordBatch.from_arrays([*rest.slice(first, n).columns, *made], [*rest.schema.names, "node", "bands", "outline", "rarity"])
 
-    return texts.select("node", "text").mapInPandas(signed, "node binary, bands array<long>, outline binary, rarity double")
+    schema = T.StructType([f for f in full.schema if f.name != "text"])
+    schema = schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())).add("outline", "binary").add("rarity", "double")
+    return full.mapInArrow(signed, schema)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, idf, least: float, size: int, salts: int) -> DataFrame:
-    """Of (node, hub) those whose weighted similarity is ``least`` or more.
+def _similar(pairs: DataFrame, texts: DataFrame, idf, least: float, size: int) -> DataFrame:
+    """Of (node, hub, n) those (node, hub) whose weighted similarity is ``least`` or more; a hub has about ``n`` nodes at most.
 
-    A node's text goes to its few hubs; a hub's text goes, once for each salt of the nodes that need it, to parts of
-    its nodes, so a hub of very many nodes is spread.
+    A node's text goes to its hubs. A hub's text goes once to each part of about PART of its nodes, so a hub of very many
+    nodes is spread; within a part it comes first, and the nodes stream past it.
     """
 
     def verified(batches):
-        weigh, known = Weigher(idf.value), OrderedDict()
-
-        def weighted(some: list[str]):
-            for _, lists in batches_of(some):
-                owner, feature, tf = features(lists, size)
-                w, ends = weigh(feature, tf), np.searchsorted(owner, np.arange(len(lists) + 1))
-                yield from ((feature[a:b], w[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-
+        weigh, hub = Weigher(idf.value), (np.zeros(0, np.uint64), np.zeros(0, np.float32))
         for b in batches:
+            data, at = arrow_bytes(b.column("text"))
+            is_hub = b.column("is_hub").to_pylist()
             keep = []
-            for own, hub, hub_text in zip(weighted(b["text"].tolist()), b["hub"], b["hub_text"], strict=True):
-                hub = bytes(hub)
-                if hub not in known:
-                    known[hub] = next(weighted([hub_text]))
-                    if len(known) > 64:
-                        known.popitem(last=False)
-                known.move_to_end(hub)
-                keep.append(weighted_jaccard(*own, *known[hub]) >= least)
-            yield b.loc[keep, ["node", "hub"]]
-
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
-    left = salted.join(texts, "node")
-    hubs = salted.select("hub", "salt").distinct().join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    return left.join(hubs, ["hub", "salt"]).select("node", "hub", "text", "hub_text").mapInPandas(verified, "node binary, hub binary")
-
-
-def connected(edges: DataFrame, tag: str = "labels") -> DataFrame:
-    """(node, cls) for the nodes of undirected (node, hub) edges: cls is the least node of the connected component.
-
-    Each step takes the least label of the neighbours, then the label of that label, until none changes.
-    """
-    both = staged(edges.select("node", "hub").unionByName(edges.select(F.col("hub").alias("node"), F.col("node").alias("hub"))).distinct(), f"{tag}-edges")
-    labels = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("hub")).alias("cls")), tag)
-    while True:
-        near = both.join(labels.select(F.col("node").alias("hub"), "cls"), "hub").select("node", "cls")
-        least = labels.unionByName(near).groupBy("node").agg(F.min("cls").alias("cls"))
-        jump = least.select(F.col("node").alias("cls"), F.col("cls").alias("further"))
-        new = staged(least.join(jump, "cls", "left").select("node", F.coalesce("further", "cls").alias("cls")), tag)
-        if new.join(labels.withColumnRenamed("cls", "old"), "node").filter("cls <> old").isEmpty():
-            return new
-        labels = new
+            for first, last in runs(at):
+                owner, feature, tf = features(*word_hashes(data, at[first : last + 1]), size)
+                w, ends = weigh(feature, tf), np.searchsorted(owner, np.arange(last - first + 1))
+                for k in range(last - first):
+                    own = feature[ends[k] : ends[k + 1]], w[ends[k] : ends[k + 1]]
+                    if is_hub[first + k]:
+                        hub = own
+                    elif weighted_jaccard(*own, *hub) >= least:
+                        keep.append(first + k)
+            yield b.select(["node", "hub"]).take(pa.array(keep, pa.int64()))
+
+    salted = pairs.select("node", "hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)).alias("salt"))
+    nodes = salted.join(texts, "node").select("hub", "salt", F.lit(False).alias("is_hub"), "node", "text")
+    hubs = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(True).alias("is_hub"), F.col("hub").alias("node"), "text")
+    dealt = hubs.unionByName(nodes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
+    return dealt.select("hub", "node", "is_hub", "text").mapInArrow(verified, "node binary, hub binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -133,13 +154,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     1. A bucket's hub is its node with the least rare shingles, which of many edited copies is one with few edits. All
        others are compared to it, and nearly all copies of one text become one class.
-    2. Nodes outside the hub's class are compared to the two likeliest of one block of about BLOCK nodes of the bucket,
-    3. those still outside to the four likeliest of each of its blocks,
-    4. and those still outside to all the rest.
+    2. Nodes outside the hub's class are compared to the likeliest member of the bucket,
+    3. and those still outside to all others that may be similar.
 
     Outlines (weights by hash group) give a bound that a similarity can't pass; pairs under it are left out before any
-    text moves, and it says which pairs are likeliest. Steps leave out pairs that are in one class by then, and no other:
-    there is no cap.
+    text moves, and it says which pair is likeliest. For steps 2 and 3 buckets are cut into blocks of about BLOCK nodes,
+    and a task compares the outlines of two blocks at a time. Steps leave out pairs that are in one class by then, and
+    no other: there is no cap.
 
     Nulls: a null text is empty; texts without words are equal to each other only; a null doc_id sorts last and stays
     null. Texts of fewer than ``size`` words have one shingle of them all. Repeated rows are rows of a class of which
@@ -150,103 +171,128 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def _decided(docs: DataFrame, text: str, doc_id: str, row: Column, size: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """As near_duplicates(), with each row's number."""
-    spark = docs.sparkSession
-    node = F.substring(F.unhex(F.sha2(F.trim(F.regexp_replace(text_or_empty(text), SPACE, " ")), 256)), 1, 16)
-    full = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), node.alias("node"))
-    slim = staged(full.select("row", "doc_id", "node"), "near-rows")
-    total = slim.count()
-    idf = spark.sparkContext.broadcast(idf_table(full, size))
-    signed = staged(_signatures(full, idf, size, bands, rows).groupBy("node").agg(F.first(F.struct("bands", "outline", "rarity")).alias("s")).select("node", "s.*"), "near-bands")
-    edges = _links(full, signed, idf, total, size, least)
-    return _classes(slim, edges, total)
+    full = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    # a text's own key, by which it is found again: two hashes of 64 bits
+    full = full.withColumns({"raw1": F.xxhash64("text"), "raw2": F.xxhash64(F.lit(7), "text")})
+    idf = docs.sparkSession.sparkContext.broadcast(idf_table(full, size))
+    signed = staged(_signatures(full, idf, size, bands, rows), "near-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    form = F.first(F.struct("bands", "outline", "rarity", "raw1", "raw2")).alias("form")
+    nodes = staged(signed.groupBy("node").agg(best, F.count(F.lit(1)).alias("copies"), form).select("node", "best", "copies", "form.*"), "near-nodes")
+    total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    labels = _labels(full, nodes, idf, total, size, least)
+    return _classes(signed.select("row", "doc_id", "node"), nodes.select("node", "best", "copies"), labels, total)
 
 
 @F.pandas_udf(T.BooleanType())
-def _may_reach(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series(similarity_bound(unpacked(a.tolist()), unpacked(b.tolist())) >= least.to_numpy() if len(a) else np.zeros(0, bool))
+def _may_reach(a, b, least):
+    import pandas as pd
 
+    if not len(a):
+        return pd.Series(np.zeros(0, bool))
+    (a_low, a_high), (b_low, b_high) = unpacked(a.tolist()), unpacked(b.tolist())
+    bound = np.minimum(a_high, b_high).sum(axis=1) / np.maximum(np.maximum(a_low, b_low).sum(axis=1), 1e-30)
+    return pd.Series(bound >= least.to_numpy())
 
-def _likeliest(rows: DataFrame, least: float, low: int, high: int | None) -> DataFrame:
-    """From (node, cls, outline, block): pairs of a node and block members in other classes, those ranked from ``low`` to ``high`` by bound.
 
-    Ranks count all members that may reach ``least``, so they stay the same from step to step.
-    """
+def _block_pairs(met: DataFrame, least: float, likeliest: bool) -> DataFrame:
+    """From rows of two blocks: (bucket, n, hub, node, bound) for outsiders (hub) and members of other classes that may be
+    similar; of each outsider only the likeliest member of the block, or all."""
 
-    def ranked(batches):
+    def lists(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+        one = column.slice(k, 1).flatten()
+        keys = lambda name: np.frombuffer(b"".join(one.field(name).to_pylist()), "S16")
+        return keys("node"), keys("cls"), unpacked(one.field("outline").to_pylist())
+
+    def compared(batches):
         for b in batches:
-            nodes, hubs = [], []
-            for node, cls, outline, block in zip(b["node"], b["cls"], b["outline"], b["block"], strict=True):
-                bound = similarity_bound(unpacked([outline]), unpacked([x["outline"] for x in block]))
-                order = [k for k in np.argsort(-bound, kind="stable").tolist() if bound[k] >= least and bytes(block[k]["node"]) != bytes(node)]
-                for k in order[low:high]:
-                    if bytes(block[k]["cls"]) != bytes(cls):
-                        nodes.append(node)
-                        hubs.append(block[k]["node"])
-            yield pd.DataFrame({"node": nodes, "hub": hubs})
-
-    return rows.select("node", "cls", "outline", "block").mapInPandas(ranked, "node binary, hub binary")
-
-
-def _links(full: DataFrame, signed: DataFrame, idf, total: int, size: int, least: float) -> DataFrame:
-    at = signed.select("node", "rarity", F.posexplode("bands").alias("band", "key")).select("node", "rarity", F.xxhash64("band", "key").alias("bucket"))
-    shared = staged(at.groupBy("bucket").agg(F.min(F.struct("rarity", "node")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "n", F.col("first.node").alias("main")), "near-buckets")
-    outline = lambda name: signed.select(F.col("node").alias(name), F.col("outline").alias(f"{name}_outline"))
-    buckets = shared.join(outline("main"), "main")
-    members = join_by_weight(at.select("bucket", "node"), buckets, "bucket", "n", total)
-    members = staged(members.join(outline("node"), "node"), "near-members")
-    wanted = members.select("node").distinct()
-    n_wanted = wanted.count()
-    marked = marked_bits(wanted, "node", filter_bits(n_wanted))
-    # the filter spares the shuffle most texts that no bucket asks for; the join leaves out the rest
-    texts = full.select("node", "text").filter(possible(full, "node", marked)).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts, salts = staged(texts, "near-texts"), max(1, total // 200)
-    pairs = members.filter((F.col("node") != F.col("main")) & _may_reach("node_outline", "main_outline", F.lit(least))).select("node", F.col("main").alias("hub")).distinct()
-    edges = checked = None
-    for step in range(1, 5):
-        pairs = staged(pairs, "near-pairs")
-        found = staged(_similar(pairs, texts, idf, least, size, salts), "near-links")
-        edges = found if edges is None else edges.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if step == 4:
-            break
-        labels = connected(edges)
-        labelled = lambda x, name, to: x.join(labels.select(F.col("node").alias(name), F.col("cls").alias("_c")), name, "left").withColumn(to, F.coalesce("_c", name)).drop("_c")
-        mains = labelled(shared.select("bucket", "main", "n"), "main", "main_cls")
-        inside = labelled(members.select("bucket", "node", F.col("node_outline").alias("outline")), "node", "cls")
-        now = staged(join_by_weight(inside, mains.select("bucket", "n", "main_cls"), "bucket", "n", total), "near-now")
-        outside = now.filter("cls <> main_cls")
-        rest = staged(outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"), F.first("n").alias("n")), "near-open")
+            for k in range(b.num_rows):
+                hubs, hub_cls, hub_form = lists(b.column("outsiders"), k)
+                nodes, cls, form = lists(b.column("members"), k)
+                bound = similarity_bounds(hub_form, form)
+                bound[hub_cls[:, None] == cls[None, :]] = 0.0
+                if likeliest:
+                    x, y = np.arange(len(hubs)), bound.argmax(axis=1)
+                    x = x[bound[x, y] >= least]
+                    y = y[x]
+                else:
+                    x, y = np.nonzero(bound >= least)
+                as_bytes = lambda keys: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
+                one = lambda name: pa.array([b.column(name)[k].as_py()] * len(x), pa.int64())
+                yield pa.RecordBatch.from_arrays([one("bucket"), one("n"), as_bytes(hubs[x]), as_bytes(nodes[y]), pa.array(bound[x, y].astype(np.float64))], ["bucket", "n", "hub", "node", "bound"])
+
+    return met.select("bucket", "n", "outsiders", "members").mapInArrow(compared, "bucket long, n long, hub binary, node binary, bound double")
+
+
+def _blocks_that_meet(open_: DataFrame) -> DataFrame:
+    """From (bucket, n, rest, node, cls, outline, outside) for all members of buckets: (bucket, n, outsiders, members), a row
+    for each block of outsiders and block of members of a bucket."""
+    parts = lambda many: F.ceil(F.col(many) / BLOCK)
+    block = F.collect_list(F.struct("node", "cls", "outline"))
+    part = F.pmod(F.xxhash64("node"), parts("n"))
+    members = open_.groupBy("bucket", "n", "rest", part.alias("part")).agg(block.alias("members"))
+    members = members.select("bucket", "n", "members", F.floor(F.col("part") / REACH).alias("reach"), F.explode(F.sequence(F.lit(0).cast("long"), parts("rest") - 1)).alias("o"))
+    outsiders = open_.filter("outside").groupBy("bucket", "n", "rest", F.pmod(F.xxhash64("node", F.lit(3)), parts("rest")).alias("o")).agg(block.alias("outsiders"))
+    outsiders = outsiders.select("bucket", "o", "outsiders", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((parts("n") - 1) / REACH))).alias("reach"))
+    return members.join(outsiders, ["bucket", "o", "reach"]).select("bucket", "n", "outsiders", "members")
+
+
+def _labels(full: DataFrame, nodes: DataFrame, idf, total: int, size: int, least: float) -> DataFrame:
+    """(node, cls) for all nodes that have a link."""
+    at = nodes.select("node", "rarity", F.posexplode("bands").alias("band", "key")).select("node", "rarity", F.xxhash64("band", "key").alias("bucket"))
+    first = F.min(F.struct("rarity", "node")).alias("first")
+    shared = staged(at.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "n", F.col("first.node").alias("main")), "near-buckets")
+    members = staged(join_by_weight(at.select("bucket", "node"), shared, "bucket", "n", total), "near-members")
+    outline = nodes.select("node", "outline")
+
+    pairs = members.filter(F.col("node") != F.col("main")).groupBy("node", F.col("main").alias("hub")).agg(F.max("n").alias("n"))
+    mains = shared.groupBy(F.col("main").alias("node")).agg(F.sum("n").alias("w")).join(outline, "node").select(F.col("node").alias("hub"), "w", F.col("outline").alias("hub_outline"))
+    pairs = join_by_weight(pairs.join(outline, "node"), mains, "hub", "w", total).filter(_may_reach("outline", "hub_outline", F.lit(least)))
+    pairs = staged(pairs.select("node", "hub", "n"), "near-pairs")
+
+    raw = staged(members.select("node").distinct().join(nodes.select("node", "raw1", "raw2"), "node"), "near-wanted")
+    marked = marked_bits(raw, "raw1", filter_bits(raw.count()))
+    # the filter spares the shuffle most texts that no bucket asks for, copies meet before it; the join leaves out the rest
+    texts = full.select("raw1", "raw2", "text").filter(possible(full, "raw1", marked)).groupBy("raw1", "raw2").agg(F.first("text").alias("text"))
+    texts = staged(texts.join(raw, ["raw1", "raw2"]).select("node", "text"), "near-texts")
+
+    found = staged(_similar(pairs, texts, idf, least, size), "near-links")
+    labels, checked = connected(found), pairs.select("node", "hub")
+    for likeliest in (True, False):
+        label = labels.select(F.col("node").alias("_node"), F.col("cls").alias("_cls"))
+        of = lambda rows, node, cls, label=label: rows.join(label, F.col(node) == F.col("_node"), "left").withColumn(cls, F.coalesce("_cls", node)).drop("_node", "_cls")
+        mains = of(shared, "main", "main_cls").select("bucket", "main_cls")
+        mains = mains.join(shared.select("bucket", F.col("n").alias("_n")), "bucket")
+        now = join_by_weight(of(members.select("bucket", "n", "node"), "node", "cls"), mains, "bucket", "_n", total)
+        now = staged(now.select("bucket", "n", "node", "cls", (F.col("cls") != F.col("main_cls")).alias("outside")), "near-now")
+        rest = staged(now.filter("outside").groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"), F.first("n").alias("_n")), "near-open")
         if rest.isEmpty():
             break
-        blocks = lambda n: F.ceil(n / BLOCK)
-        open_ = join_by_weight(now.select("bucket", "node", "cls", "outline"), rest, "bucket", "n", total)
-        listed = open_.groupBy("bucket", "rest", F.pmod(F.xxhash64("node"), blocks(F.col("n"))).alias("part")).agg(F.collect_list(F.struct("node", "cls", "outline")).alias("block"))
-        met = join_by_weight(outside.select("bucket", "node", "cls", "outline", "n"), listed, "bucket", "rest", total)
-        if step == 1:
-            met = met.filter(F.col("part") == F.pmod(F.xxhash64("node", F.lit(5)), blocks(F.col("n"))))
-        new = _likeliest(met, least, *((0, 2), (0, 4), (0, None))[step - 1])
-        one = new.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.first(F.struct("node", "hub")).alias("p"))
+        open_ = join_by_weight(now, rest, "bucket", "_n", total).drop("_n").join(outline, "node")
+        new = _block_pairs(_blocks_that_meet(open_), least, likeliest)
+        if likeliest:
+            new = new.groupBy("hub", "bucket").agg(F.max(F.struct("bound", "node", "n")).alias("top")).select("hub", "top.node", "top.n")
+        once = new.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.max(F.struct("n", "node", "hub")).alias("p"))
         old = checked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        pairs = one.join(old, ["a", "b"], "left_anti").select("p.node", "p.hub")
-    return edges
-
-
-def _classes(slim: DataFrame, edges: DataFrame, total: int) -> DataFrame:
-    labels = connected(edges)
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    nodes = slim.groupBy("node").agg(own, F.count(F.lit(1)).alias("copies")).join(labels, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    nodes = staged(nodes, "near-nodes")
-    classes = nodes.groupBy("cls").agg(F.min("best").alias("keep"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
-    several = staged(classes.filter("n > 1"), "near-classes")
-    single = nodes.join(several.select("cls"), "cls", "left_anti").select("node", "copies", F.col("best").alias("keep"), F.col("copies").alias("class_size"))
-    multi = join_by_weight(nodes, several, "cls", "n", total).select("node", "copies", "keep", "class_size")
-    by_node = single.unionByName(multi)
-    rows = join_by_weight(slim, by_node, "node", "copies", total)
+        pairs = staged(once.join(old, ["a", "b"], "left_anti").select("p.node", "p.hub", "p.n"), "near-pairs")
+        checked = checked.unionByName(pairs.select("node", "hub"))
+        found = staged(_similar(pairs, texts, idf, least, size), "near-links")
+        if not found.isEmpty():
+            labels = connected(labels.select("node", F.col("cls").alias("hub")).unionByName(found))
+    return labels
+
+
+def _classes(slim: DataFrame, nodes: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    nodes = staged(nodes.join(labels, "node", "left"), "near-classes")
+    own = nodes.filter("cls IS NOT NULL")
+    classes = staged(own.groupBy("cls").agg(F.min("best").alias("keep"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")), "near-classes")
+    single = nodes.filter("cls IS NULL").select("node", "copies", F.col("best").alias("keep"), F.col("copies").alias("class_size"))
+    multi = join_by_weight(own, classes, "cls", "n", total).select("node", "copies", "keep", "class_size")
+    rows = join_by_weight(slim, single.unionByName(multi), "node", "copies", total)
     return rows.select("doc_id", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("keep.row")).alias("kept"), "row")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that near_duplicates() keeps, with all their columns; null and repeated doc ids are no matter."""
     rows, row = numbered(docs)
-    kept = _decided(rows, text, doc_id, F.col(row)).filter("kept").select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_semi").drop(row)
+    return without_rows(rows, _decided(rows, text, doc_id, F.col(row)).filter("NOT kept"), row)

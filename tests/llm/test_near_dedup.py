@@ -3,12 +3,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import near_dedup
-from gridloom.llm.near_dedup import connected, drop_near_duplicates, near_duplicates
-from gridloom.llm.shingles import ConsistentSampler, features, outlines, similarity_bound, unpacked, weighted_jaccard, words_of
+from gridloom.llm.components import connected
+from gridloom.llm.near_dedup import drop_near_duplicates, near_duplicates
+from gridloom.llm.shingles import ConsistentSampler, arrow_bytes, features_of, node_keys, outlines, runs, similarity_bounds, unpacked, weighted_jaccard, word_hashes, words_of
 
 
 def shingles(text):
@@ -21,7 +23,7 @@ def classes(rows, least=0.8):
     s = [shingles(t) for _, t in rows]
     df = Counter(k for x in s for k in x)
     n = len(rows)
-    w = [{k: c * (1 + math.log((1 + n) / (1 + df[k])) / (2 * math.log(2 + n))) for k, c in x.items()} for x in s]
+    w = [{k: c * (1 + 0.5 * min(1.0, math.log(n / df[k]) / math.log(64))) for k, c in x.items()} for x in s]
     parent = list(range(n))
 
     def root(x):
@@ -86,7 +88,8 @@ def test_chains_in_one_bucket_lose_no_link(spark, monkeypatch):
 
 def test_components(spark):
     edges = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in [(1, 2), (2, 3), (9, 8), (3, 4), (7, 6), (6, 5), (5, 8)]], "node binary, hub binary")
-    assert {(r["node"][0], r["cls"][0]) for r in connected(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5)}
+    for one_task in (0, 100):
+        assert {(r["node"][0], r["cls"][0]) for r in connected(edges, one_task).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5)}
 
 
 def test_samples_agree_as_often_as_texts_are_similar():
@@ -107,12 +110,45 @@ def test_outlines_bound_similarities_from_above():
     weights = [rng.uniform(1, 3, len(p)).astype(np.float32) for p in picks]
     packed = [outlines(np.zeros(len(p), np.int64), f[p], w, 1)[0].tobytes() for p, w in zip(picks, weights, strict=True)]
     for i in range(59):
-        bound = similarity_bound(unpacked([packed[i]]), unpacked([packed[i + 1]]))[0]
+        bound = similarity_bounds(unpacked([packed[i]]), unpacked([packed[i + 1]]))[0, 0]
         assert bound >= weighted_jaccard(f[picks[i]], weights[i], f[picks[i + 1]], weights[i + 1]) - 1e-5
-    assert 1 <= similarity_bound(unpacked(packed[:1]), unpacked(packed[:1]))[0] < 1.05
+    assert 1 <= similarity_bounds(unpacked(packed[:1]), unpacked(packed[:1]))[0, 0] < 1.05
 
 
 def test_features_count_shingles():
-    owner, feature, tf = features([words_of("a b c d e a b c d e"), [], ["one", "two"], words_of("A b c d e")])
+    owner, feature, tf = features_of(["a b c d e a b c d e", "", "one two", "A b c d e"])
     assert Counter(owner.tolist()) == {0: 5, 2: 1, 3: 1} and tf.tolist().count(2) == 1
     assert feature[owner == 3][0] in feature[owner == 0]
+
+
+def test_words_and_their_hashes_are_those_of_the_texts():
+    texts = ["a b", "  ", "é À b\x1cc  d", "x" * 100 + " yy", "", "a\tb\nc\rd\x0be\x0cf", "b a", "long-word-of-many-bytes B", "long-word-of-many-bytes\n\nb", "日本語 テキスト"] * 3
+    data, at = arrow_bytes(pa.array(texts))
+    hashes, keys = {}, {}
+    for first, last in runs(at, 64):
+        flat, counts = word_hashes(data, at[first : last + 1])
+        assert counts.tolist() == [len(words_of(t)) for t in texts[first:last]]
+        for w, h in zip([w for t in texts[first:last] for w in words_of(t)], flat.tolist(), strict=True):
+            assert hashes.setdefault(w, h) == h
+        for t, key in zip(texts[first:last], node_keys(flat, counts), strict=True):
+            assert keys.setdefault(tuple(words_of(t)), key.tobytes()) == key.tobytes()
+    assert len(set(hashes.values())) == len(hashes) and len(set(keys.values())) == len(keys)
+
+
+def test_a_large_group_of_copies_that_do_not_all_link(spark, monkeypatch):
+    """Copies with many edits each: many blocks, many outsiders; classes are those of brute force over what shares a bucket."""
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(len(words), int(rng.integers(0, 6)), replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_dedup._signatures
+    monkeypatch.setattr(near_dedup, "_signatures", lambda *args: signed(*args).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "REACH", 2)
+    want = sorted(((d, min(c), len(c)) for c in classes(list(enumerate(texts))).values() for d in c), key=repr)
+    assert got(near_duplicates(docs).collect()) == want and len({c for _, c, _ in want}) > 1
