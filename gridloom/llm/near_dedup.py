@@ -33,9 +33,9 @@ SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 8, 3
 BUCKETS, SLICE = 1 << 18, 1 << 12
 #: A shingle in fewer than one of RARE documents has the full weight, whatever the size of the corpus.
 RARE = 64
-#: Members of a bucket in a block; blocks of a bucket are compared two at a time. Blocks of members that one copy of a
-#: block of outsiders meets; nodes of a hub that one copy of its text is compared to.
-BLOCK, REACH, PART = 256, 64, 64
+#: Outsiders of a bucket that a task holds and their bytes, members that stream past them, and nodes of a hub that one copy
+#: of its text is compared to: parts of a bucket or a hub, so that however large it is, tasks stay as they are.
+BLOCK, BLOCK_BYTES, RUN, PART = 256, 8 << 20, 1024, 64
 
 
 def idf_table(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
@@ -154,13 +154,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     1. A bucket's hub is its node with the least rare shingles, which of many edited copies is one with few edits. All
        others are compared to it, and nearly all copies of one text become one class.
-    2. Nodes outside the hub's class are compared to the likeliest member of the bucket,
-    3. and those still outside to all others that may be similar.
+    2. Nodes outside the hub's class are compared to all members of the bucket that are in other classes.
 
-    Outlines (weights by hash group) give a bound that a similarity can't pass; pairs under it are left out before any
-    text moves, and it says which pair is likeliest. For steps 2 and 3 buckets are cut into blocks of about BLOCK nodes,
-    and a task compares the outlines of two blocks at a time. Steps leave out pairs that are in one class by then, and
-    no other: there is no cap.
+    Outlines (weights by hash group) give a bound that a similarity can't pass: pairs under it need no look at their
+    shingles. Pairs that are in one class by then are left out, and no other: there is no cap.
 
     Nulls: a null text is empty; texts without words are equal to each other only; a null doc_id sorts last and stays
     null. Texts of fewer than ``size`` words have one shingle of them all. Repeated rows are rows of a class of which
@@ -173,11 +170,11 @@ def _decided(docs: DataFrame, text: str, doc_id: str, row: Column, size: int = S
     """As near_duplicates(), with each row's number."""
     full = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     # a text's own key, by which it is found again: two hashes of 64 bits
-    full = full.withColumns({"raw1": F.xxhash64("text"), "raw2": F.xxhash64(F.lit(7), "text")})
+    full = full.withColumns({"raw1": F.xxhash64("text"), "raw2": F.xxhash64(F.lit(7), "text"), "size": F.octet_length("text")})
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(full, size))
     signed = staged(_signatures(full, idf, size, bands, rows), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    form = F.first(F.struct("bands", "outline", "rarity", "raw1", "raw2")).alias("form")
+    form = F.first(F.struct("bands", "outline", "rarity", "raw1", "raw2", "size")).alias("form")
     nodes = staged(signed.groupBy("node").agg(best, F.count(F.lit(1)).alias("copies"), form).select("node", "best", "copies", "form.*"), "near-nodes")
     total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     labels = _labels(full, nodes, idf, total, size, least)
@@ -195,54 +192,63 @@ def _may_reach(a, b, least):
     return pd.Series(bound >= least.to_numpy())
 
 
-def _block_pairs(met: DataFrame, least: float, likeliest: bool) -> DataFrame:
-    """From rows of two blocks: (bucket, n, hub, node, bound) for outsiders (hub) and members of other classes that may be
-    similar; of each outsider only the likeliest member of the block, or all."""
+def _met(open_: DataFrame, texts: DataFrame, idf, least: float, size: int) -> DataFrame:
+    """Links (node, hub) of the rest of open buckets, from (bucket, n, rest, bytes, node, cls, outline, outside) for their members.
 
-    def lists(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-        one = column.slice(k, 1).flatten()
-        keys = lambda name: np.frombuffer(b"".join(one.field(name).to_pylist()), "S16")
-        return keys("node"), keys("cls"), unpacked(one.field("outline").to_pylist())
+    Outsiders are dealt to blocks of about BLOCK nodes and bounded bytes, members to runs of about RUN nodes. A task holds
+    a block's features; a run of members streams past. Of pairs in two classes whose outlines may be similar enough the
+    similarity is computed, and what links is one class from then on: a task gives a link only where it joins two classes,
+    so it never gives more links than it has nodes.
+    """
+    blocks = F.greatest(F.ceil(F.col("rest") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    members_runs = F.ceil(F.col("n") / RUN)
+    with_text = open_.join(texts, "node")
+    members = with_text.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.pmod(F.xxhash64("node"), members_runs).alias("run"), F.lit(True).alias("member"), "node", "cls", "outline", "text")
+    outsiders = with_text.filter("outside").select("bucket", F.pmod(F.xxhash64("node", F.lit(3)), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), members_runs - 1)).alias("run"), F.lit(False).alias("member"), "node", "cls", "outline", "text")
+
+    def linked(batches):
+        weigh, at_key, held, forms, parent = Weigher(idf.value), None, [], None, {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
 
-    def compared(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                hubs, hub_cls, hub_form = lists(b.column("outsiders"), k)
-                nodes, cls, form = lists(b.column("members"), k)
-                bound = similarity_bounds(hub_form, form)
-                bound[hub_cls[:, None] == cls[None, :]] = 0.0
-                if likeliest:
-                    x, y = np.arange(len(hubs)), bound.argmax(axis=1)
-                    x = x[bound[x, y] >= least]
-                    y = y[x]
-                else:
-                    x, y = np.nonzero(bound >= least)
-                as_bytes = lambda keys: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
-                one = lambda name: pa.array([b.column(name)[k].as_py()] * len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([one("bucket"), one("n"), as_bytes(hubs[x]), as_bytes(nodes[y]), pa.array(bound[x, y].astype(np.float64))], ["bucket", "n", "hub", "node", "bound"])
-
-    return met.select("bucket", "n", "outsiders", "members").mapInArrow(compared, "bucket long, n long, hub binary, node binary, bound double")
-
-
-def _blocks_that_meet(open_: DataFrame) -> DataFrame:
-    """From (bucket, n, rest, node, cls, outline, outside) for all members of buckets: (bucket, n, outsiders, members), a row
-    for each block of outsiders and block of members of a bucket."""
-    parts = lambda many: F.ceil(F.col(many) / BLOCK)
-    block = F.collect_list(F.struct("node", "cls", "outline"))
-    part = F.pmod(F.xxhash64("node"), parts("n"))
-    members = open_.groupBy("bucket", "n", "rest", part.alias("part")).agg(block.alias("members"))
-    members = members.select("bucket", "n", "members", F.floor(F.col("part") / REACH).alias("reach"), F.explode(F.sequence(F.lit(0).cast("long"), parts("rest") - 1)).alias("o"))
-    outsiders = open_.filter("outside").groupBy("bucket", "n", "rest", F.pmod(F.xxhash64("node", F.lit(3)), parts("rest")).alias("o")).agg(block.alias("outsiders"))
-    outsiders = outsiders.select("bucket", "o", "outsiders", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((parts("n") - 1) / REACH))).alias("reach"))
-    return members.join(outsiders, ["bucket", "o", "reach"]).select("bucket", "n", "outsiders", "members")
+            data, at = arrow_bytes(b.column("text"))
+            keys = list(zip(*[b.column(c).to_pylist() for c in ("bucket", "block", "run")], strict=True))
+            member, node, cls, outline = (b.column(c).to_pylist() for c in ("member", "node", "cls", "outline"))
+            out: list[tuple[bytes, bytes]] = []
+            for first, last in runs(at):
+                owner, feature, tf = features(*word_hashes(data, at[first : last + 1]), size)
+                w, ends = weigh(feature, tf), np.searchsorted(owner, np.arange(last - first + 1))
+                for k in range(first, last):
+                    own = feature[ends[k - first] : ends[k - first + 1]], w[ends[k - first] : ends[k - first + 1]]
+                    if keys[k] != at_key:
+                        at_key, held, forms, parent = keys[k], [], None, {}
+                    if not member[k]:
+                        held.append((node[k], cls[k], outline[k], *(x.copy() for x in own)))
+                        continue
+                    if forms is None:
+                        forms = unpacked([x[2] for x in held])
+                    bound = similarity_bounds(unpacked([outline[k]]), forms)[0]
+                    for j in np.flatnonzero(bound >= least).tolist():
+                        one, other = root(cls[k]), root(held[j][1])
+                        if one != other and weighted_jaccard(*own, held[j][3], held[j][4]) >= least:
+                            parent[other] = one
+                            out.append((node[k], held[j][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["node", "hub"])
+
+    dealt = members.unionByName(outsiders).repartition("bucket", "block", "run").sortWithinPartitions("bucket", "block", "run", "member")
+    return dealt.mapInArrow(linked, "node binary, hub binary").distinct()
 
 
 def _labels(full: DataFrame, nodes: DataFrame, idf, total: int, size: int, least: float) -> DataFrame:
     """(node, cls) for all nodes that have a link."""
-    at = nodes.select("node", "rarity", F.posexplode("bands").alias("band", "key")).select("node", "rarity", F.xxhash64("band", "key").alias("bucket"))
+    at = nodes.select("node", "rarity", "size", F.posexplode("bands").alias("band", "key")).select("node", "rarity", "size", F.xxhash64("band", "key").alias("bucket"))
     first = F.min(F.struct("rarity", "node")).alias("first")
     shared = staged(at.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "n", F.col("first.node").alias("main")), "near-buckets")
-    members = staged(join_by_weight(at.select("bucket", "node"), shared, "bucket", "n", total), "near-members")
+    members = staged(join_by_weight(at.select("bucket", "node", "size"), shared, "bucket", "n", total), "near-members")
     outline = nodes.select("node", "outline")
 
     pairs = members.filter(F.col("node") != F.col("main")).groupBy("node", F.col("main").alias("hub")).agg(F.max("n").alias("n"))
@@ -257,29 +263,18 @@ def _labels(full: DataFrame, nodes: DataFrame, idf, total: int, size: int, least
     texts = staged(texts.join(raw, ["raw1", "raw2"]).select("node", "text"), "near-texts")
 
     found = staged(_similar(pairs, texts, idf, least, size), "near-links")
-    labels, checked = connected(found), pairs.select("node", "hub")
-    for likeliest in (True, False):
-        label = labels.select(F.col("node").alias("_node"), F.col("cls").alias("_cls"))
-        of = lambda rows, node, cls, label=label: rows.join(label, F.col(node) == F.col("_node"), "left").withColumn(cls, F.coalesce("_cls", node)).drop("_node", "_cls")
-        mains = of(shared, "main", "main_cls").select("bucket", "main_cls")
-        mains = mains.join(shared.select("bucket", F.col("n").alias("_n")), "bucket")
-        now = join_by_weight(of(members.select("bucket", "n", "node"), "node", "cls"), mains, "bucket", "_n", total)
-        now = staged(now.select("bucket", "n", "node", "cls", (F.col("cls") != F.col("main_cls")).alias("outside")), "near-now")
-        rest = staged(now.filter("outside").groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"), F.first("n").alias("_n")), "near-open")
-        if rest.isEmpty():
-            break
-        open_ = join_by_weight(now, rest, "bucket", "_n", total).drop("_n").join(outline, "node")
-        new = _block_pairs(_blocks_that_meet(open_), least, likeliest)
-        if likeliest:
-            new = new.groupBy("hub", "bucket").agg(F.max(F.struct("bound", "node", "n")).alias("top")).select("hub", "top.node", "top.n")
-        once = new.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.max(F.struct("n", "node", "hub")).alias("p"))
-        old = checked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        pairs = staged(once.join(old, ["a", "b"], "left_anti").select("p.node", "p.hub", "p.n"), "near-pairs")
-        checked = checked.unionByName(pairs.select("node", "hub"))
-        found = staged(_similar(pairs, texts, idf, least, size), "near-links")
-        if not found.isEmpty():
-            labels = connected(labels.select("node", F.col("cls").alias("hub")).unionByName(found))
-    return labels
+    labels = connected(found)
+    label = labels.select(F.col("node").alias("_node"), F.col("cls").alias("_cls"))
+    of = lambda rows, node, cls: rows.join(label, F.col(node) == F.col("_node"), "left").withColumn(cls, F.coalesce("_cls", node)).drop("_node", "_cls")
+    mains = of(shared, "main", "main_cls").select("bucket", "main_cls", F.col("n").alias("_n"))
+    now = join_by_weight(of(members.select("bucket", "n", "node", "size"), "node", "cls"), mains, "bucket", "_n", total)
+    now = staged(now.select("bucket", "n", "node", "size", "cls", (F.col("cls") != F.col("main_cls")).alias("outside")), "near-now")
+    rest = staged(now.filter("outside").groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"), F.sum("size").alias("bytes"), F.first("n").alias("_n")), "near-open")
+    if rest.isEmpty():
+        return labels
+    open_ = join_by_weight(now.drop("size"), rest, "bucket", "_n", total).drop("_n").join(outline, "node")
+    found = staged(_met(open_, texts, idf, least, size), "near-links")
+    return labels if found.isEmpty() else connected(labels.select("node", F.col("cls").alias("hub")).unionByName(found))
 
 
 def _classes(slim: DataFrame, nodes: DataFrame, labels: DataFrame, total: int) -> DataFrame:

@@ -149,6 +149,6 @@ def test_a_large_group_of_copies_that_do_not_all_link(spark, monkeypatch):
     signed = near_dedup._signatures
     monkeypatch.setattr(near_dedup, "_signatures", lambda *args: signed(*args).withColumn("bands", F.array(F.lit(1).cast("long"))))
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "REACH", 2)
+    monkeypatch.setattr(near_dedup, "RUN", 40)
     want = sorted(((d, min(c), len(c)) for c in classes(list(enumerate(texts))).values() for d in c), key=repr)
     assert got(near_duplicates(docs).collect()) == want and len({c for _, c, _ in want}) > 1
