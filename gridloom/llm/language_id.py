@@ -10,19 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import join_small_or_salted
 from .quality_model import fold
-from .shingles import batches_of
-from .wordtable import WordTable, summed
+from .shingles import arrow_bytes, runs
 
-#: The training sample: about this many documents of each language by hash of doc_id, and the bytes of a unit at most.
-MOST_DOCS, UNIT_BYTES = 250, 32
-HIDDEN, STEPS, BATCH, RATE, SEED = 16, 250, 256, 0.015, 11
-
-
-def units_of(word: str) -> list[bytes]:
-    """What the network reads of a word: its UTF-8 bytes between two spaces, in runs of at most UNIT_BYTES bytes."""
-    b = b" " + word.encode("utf-8", "replace") + b" "
-    return [b[k : k + UNIT_BYTES] for k in range(0, len(b), UNIT_BYTES)]
+#: The training sample: about this many documents of each language by hash of doc_id and no more in all, WINDOWS runs of WINDOW
+#: characters of each.
+MOST_DOCS, MOST_SAMPLE, WINDOWS, WINDOW = 250, 20_000, 12, 64
+HIDDEN, STEPS, BATCH, RATE, SEED = 8, 500, 128, 0.02, 11
+#: The network runs over CHUNK bytes at a time, and starts CONTEXT bytes before (and, backwards, behind) them.
+CHUNK, CONTEXT = 512, 24
+#: What stands outside a text: the states stay as they are.
+OUTSIDE = 256
 
 
 def padded(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,52 +139,101 @@ def train(units: list[bytes], targets: np.ndarray, labels: list[str], hidden: in
     return net
 
 
-def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held: int = 2, most_docs: int = MOST_DOCS) -> Network | None:
+class Reader:
+    """A network's pass over texts of any length, many chunks of bytes at once; arrays hold a row for each unit of a state."""
+
+    def __init__(self, net: Network):
+        h = net.u.shape[1]
+        # sigmoid(x) is half of 1 + tanh(x / 2): gates are halved here
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
+        outside = np.concatenate([np.full(h, 60.0), np.zeros(2 * h)]).astype(np.float32)
+        self.e = [np.ascontiguousarray(np.concatenate([e, outside[None]]).T * half[:, None]) for e in net.e]
+        self.u = [np.ascontiguousarray((u * half).T) for u in net.u]
+        self.v, self.c = np.ascontiguousarray(net.v.T), net.c[:, None].astype(np.float32)
+        self.hidden = h
+
+    def _states(self, d: int, x: np.ndarray, out: np.ndarray) -> None:
+        """States of direction ``d`` over the columns of ``x``, CONTEXT places and then as many as ``out`` has, which gets them."""
+        h_dim, n = self.hidden, x.shape[1]
+        h = np.zeros((h_dim, n), np.float32)
+        a, rec = np.empty((3 * h_dim, n), np.float32), np.empty((3 * h_dim, n), np.float32)
+        gates, new = a[: 2 * h_dim], a[2 * h_dim :]
+        places = range(len(x)) if d == 0 else range(len(x) - 1, -1, -1)
+        for k, t in enumerate(places):
+            np.take(self.e[d], x[t], axis=1, out=a, mode="clip")
+            np.matmul(self.u[d], h, out=rec)
+            gates += rec[: 2 * h_dim]
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            rec[2 * h_dim :] *= gates[h_dim:]
+            new += rec[2 * h_dim :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= gates[:h_dim]
+            h += new
+            if k >= CONTEXT:
+                out[t - CONTEXT if d == 0 else t] = h
+
+    def sums(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each row of bytes the sums of its positions' label probabilities."""
+        size = np.diff(at)
+        many = -(-size // CHUNK)
+        row = np.repeat(np.arange(len(size)), many)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * CHUNK
+        total = np.zeros((len(size), len(self.c)))
+        if not len(row):
+            return total
+        length = np.minimum(size[row] - start, CHUNK)
+        order = np.argsort(-length, kind="stable")
+        for k in range(0, len(order), 1024):
+            some = order[k : k + 1024]
+            n = int(length[some[0]])
+            place = start[some] - CONTEXT + np.arange(n + 2 * CONTEXT)[:, None]
+            inside = (place >= 0) & (place < size[row[some]])
+            x = np.where(inside, data[np.where(inside, place + at[row[some]], at[0])], np.int64(OUTSIDE))
+            states = np.empty((n, 2 * self.hidden, len(some)), np.float32)
+            self._states(0, x[: n + CONTEXT], states[:, : self.hidden])
+            self._states(1, x[CONTEXT:], states[:, self.hidden :])
+            y = np.matmul(self.v, states) + self.c
+            y -= y.max(axis=1, keepdims=True)
+            np.exp(y, out=y)
+            y /= y.sum(axis=1, keepdims=True)
+            y *= (np.arange(n)[:, None] < length[some])[:, None, :]
+            np.add.at(total, row[some], y.sum(axis=0).T)
+        return total
+
+
+def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held: int = 2, most_docs: int = MOST_DOCS, most_sample: int = MOST_SAMPLE) -> Network | None:
     """Learn from text and non-null lang of all folds but ``held``; None if there is nothing to learn from.
 
-    The sample is about ``most_docs`` documents of each language at most, by hash of doc_id, the only bound here; of
-    these a fixed number of words by hash come to the driver.
+    The sample is about ``most_docs`` documents of each language, and ``most_sample`` in all, at most, by hash of doc_id, the
+    only bound here; of each, WINDOWS runs of WINDOW characters, evenly spaced, come to the driver.
     """
-    spark = docs.sparkSession
     open_ = F.coalesce(fold(doc_id, folds) != held, F.lit(False))
     rows = docs.filter(open_ & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    share = spark.createDataFrame(rows.groupBy("lang").agg((F.lit(float(most_docs)) / F.count(F.lit(1))).alias("share")).toArrow())
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = min(most_docs, most_sample / max(1, counts.count()))
     lot = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: (w != "") & (F.pmod(F.xxhash64(w, "doc_id"), F.lit(1 << 30)) < (1 << 30) * F.least(F.lit(1.0), 120 / (1 + F.octet_length("text") / 6))))
-    found = rows.join(F.broadcast(share), "lang").filter(lot < F.col("share")).select("doc_id", "lang", words.alias("words")).toPandas()
-    pairs = sorted((la, w) for la, ws in zip(found["lang"], found["words"], strict=True) for w in ws)
+    step = F.greatest((F.length("text") - WINDOW) / (WINDOWS - 1), F.lit(0.0))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: (k * step).cast("int") + 1))
+    windows = F.transform(starts, lambda k: F.substring(F.col("text"), k, F.lit(WINDOW)))
+    drawn = join_small_or_salted(rows, counts, "lang").filter(lot < each / F.col("n"))
+    found = drawn.select("lang", windows.alias("windows")).toPandas()
+    pairs = sorted((la, w.encode("utf-8", "replace")) for la, ws in zip(found["lang"], found["windows"], strict=True) for w in ws if w)
     if not pairs:
         return None
     labels = sorted({la for la, _ in pairs})
-    units = [(u, la) for la, w in pairs for u in units_of(w)]
-    return train([u for u, _ in units], np.array([labels.index(la) for _, la in units]), labels)
-
-
-def _word_rows(net: Network):
-    """For each word: the sums of its positions' label probabilities, how many positions, whether it has a letter."""
-
-    def fill(words: list[str]) -> np.ndarray:
-        units = [units_of(w) for w in words]
-        flat = [u for x in units for u in x]
-        sums = np.zeros((len(flat), len(net.labels)), np.float32)
-        order = np.argsort([len(u) for u in flat], kind="stable")
-        for k in range(0, len(order), 4096):
-            at = order[k : k + 4096]
-            x, n = padded([flat[i] for i in at])
-            sums[at] = (net.probabilities(x, n) * (np.arange(x.shape[1]) < n[:, None])[:, :, None]).sum(axis=1)
-        total = summed(sums, np.array([len(x) for x in units], np.int64))
-        return np.column_stack([total, [sum(map(len, x)) for x in units], [any(map(str.isalpha, w)) for w in words]]).astype(np.float32)
-
-    return fill
+    return train([w for _, w in pairs], np.array([labels.index(la) for la, _ in pairs]), labels)
 
 
 def identify_languages(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` (without ``text``) with lang_pred and score, in place of columns of these names.
 
-    The network reads a text word by word: a unit is a word with the spaces beside it, at most UNIT_BYTES bytes, and
-    starts from zero states. So equal words have equal positions, and a worker runs each distinct word once. Every
-    position of the whole text has label probabilities; the document's are their mean, the score is the largest.
-    A text that is null or has no letter is ``und`` with score 0, as is every text without a network.
+    The network reads the bytes of the whole text, words and what is between them, in both directions; a text of more than
+    CHUNK bytes is read in chunks, each from CONTEXT bytes before it (behind it, backwards) on. Every position has label
+    probabilities; the document's are their mean, the score is the largest. A text that is null or has no letter is ``und``
+    with score 0, as is every text without a network.
     """
     docs = docs.select(text, *[c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")])
     schema = T.StructType(docs.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
@@ -193,17 +241,19 @@ def identify_languages(docs: DataFrame, net: Network | None, text: str = "text")
 
     def predicted(batches):
         model = shared.value
-        table = WordTable(len(model.labels) + 2, _word_rows(model)) if model else None
+        reader = Reader(model) if model else None
         names = [*model.labels, "und"] if model else ["und"]
         for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
+            texts = b.column(text).fill_null("")
             label, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            for k, lists in batches_of(texts) if table else ():
-                s = table.sums(lists)
-                p = s[:, :-2] / np.maximum(s[:, -2:-1], 1)
-                has = s[:, -1] > 0
-                label[k : k + len(lists)][has] = p.argmax(axis=1)[has]
-                score[k : k + len(lists)][has] = p.max(axis=1)[has]
+            if reader:
+                data, at = arrow_bytes(texts, lower=False)
+                for first, last in runs(at):
+                    s = reader.sums(data, at[first : last + 1])
+                    has = np.array([any(map(str.isalpha, t.as_py())) for t in texts.slice(first, last - first)])
+                    p = s / np.maximum(np.diff(at[first : last + 1]), 1)[:, None]
+                    label[first:last][has] = p.argmax(axis=1)[has]
+                    score[first:last][has] = p.max(axis=1)[has]
             kept = b.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([names[x] for x in label.tolist()], pa.string()), pa.array(np.clip(score, 0, 1))], [*kept.schema.names, "lang_pred", "score"])
 

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from .common import staged, text_or_empty
 from .tokens import encoder
 
-#: Characters of a shard, the unit that one task packs in memory.
-SHARD_CHARS = 4_000_000
+#: Ids of a shard, the unit that one task packs in memory.
+SHARD_IDS = 1_000_000
+#: Keys of a block in running().
+BLOCK_KEYS = 4096
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -61,12 +63,25 @@ def round_robin(sizes: dict, share: dict, deficit: dict, start: int, window: int
                     turn = turn % len(order) if order else 0
 
 
+def running(rows: DataFrame, key: str, value: str, name: str, by: str | None = None) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows of smaller ``key`` (0, 1, ...; per ``by``), by way of blocks of keys:
+    a task sums a block, and one the blocks' sums."""
+    group = [by] if by else []
+    before = lambda over: F.coalesce(F.sum(value).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = rows.withColumn("_block", F.floor(F.col(key) / BLOCK_KEYS))
+    blocks = rows.groupBy("_block", *group).agg(F.sum(value).alias(value))
+    blocks = blocks.select(F.col("_block").alias("_b"), *[F.col(c).alias("_by") for c in group], before(W.partitionBy(*group).orderBy("_block")).alias("_before"))
+    on = F.col("_block") == F.col("_b")
+    joined = rows.withColumn(name, before(W.partitionBy("_block", *group).orderBy(key))).join(blocks, on & F.col(by).eqNullSafe(F.col("_by")) if by else on)
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_b", "_by", "_before")
+
+
 def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, text: str = "text", source: str = "source", doc_id: str = "doc_id", shares: DataFrame | None = None) -> DataFrame:
     """Pieces of all documents in windows of ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     Every document's ids (its encoded text, then ``end_id``) lie on one long tape that is cut into windows; only the
-    tape's last window can be short. Documents are dealt to shards by hash. A first pass encodes them where they are,
-    writes their ids and counts ids by shard and source;
+    tape's last window can be short. A first pass encodes documents where they are, writes and
+    numbers them; they are dealt to shards by a hash of their number, and ids are counted by shard and source;
     running sums of the counts give each shard its place on the tape and, for each source, the deficit that all shards
     before have left it: its share of the tape so far, less what they hold of it. With these a second pass packs all
     shards at once, as one round-robin over the whole tape would carry its deficits from window to window. A source's
@@ -78,29 +93,28 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     """
     # doc ids go through pandas as text, which keeps nulls and all digits
     narrow = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(source).cast("string").alias("source"), text_or_empty(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
-    chars = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-chars // SHARD_CHARS))
-    narrow = narrow.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards)))
 
     def encoded(batches):
         for b in batches:
-            ids = encoder(tokenizer).encode(b.column("text").to_pylist())
-            wide = [np.append(x, x.dtype.type(end_id)).astype("<u4").tobytes() if x.dtype != np.uint16 else np.append(x, np.uint16(end_id)).tobytes() for x in ids]
-            width = [2 if x.dtype == np.uint16 else 4 for x in ids]
+            ids, n = encoder(tokenizer).encode_with_end(b.column("text"), end_id)
+            width = ids.dtype.itemsize
+            ends = pa.array(np.concatenate([[0], np.cumsum(n * width)]), pa.int64())
+            lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(ids)]).cast(pa.binary())
             kept = b.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(width, pa.int32()), pa.array(wide, pa.binary())], [*kept.schema.names, "n", "width", "ids"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n), pa.array(np.full(len(n), width, np.int32)), lists], [*kept.schema.names, "n", "width", "ids"])
 
     schema = T.StructType([f for f in narrow.schema if f.name != "text"]).add("n", "long").add("width", "integer").add("ids", "binary")
-    narrow = staged(narrow.mapInArrow(encoded, schema), "pack-ids")
+    # rows are dealt by number, so repeated rows go to shards like any others
+    narrow = staged(narrow.mapInArrow(encoded, schema).withColumn("r", F.monotonically_increasing_id()), "pack-ids")
+    total = narrow.agg(F.sum("n")).first()[0] or 0
+    narrow = narrow.withColumn("shard", F.pmod(F.xxhash64("r", F.lit(7)), F.lit(max(1, -(-total // SHARD_IDS)))))
     counts = staged(narrow.groupBy("shard", "source").agg(F.sum("n").alias("n")), "pack-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    starts = counts.groupBy("shard").agg(F.sum("n").alias("n")).select(F.col("shard").alias("_shard"), earlier(W.orderBy("shard")).alias("at"))
+    starts = running(counts.groupBy("shard").agg(F.sum("n").alias("n")), "shard", "n", "at").select(F.col("shard").alias("_shard"), "at")
     if shares is None:
         shares = counts.groupBy("source").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
     shares = shares.select(F.col("source").alias("_source"), "share")
     plan = (
-        counts.withColumn("before", earlier(W.partitionBy("source").orderBy("shard")))
+        running(counts, "shard", "n", "before", "source")
         .join(starts, F.col("shard") == F.col("_shard"))
         .join(shares, F.col("source").eqNullSafe(F.col("_source")), "left")
         .select("shard", "source", "at", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("at") - F.col("before")).alias("deficit"))
@@ -108,7 +122,7 @@ def pack_by_mixture(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     def packed(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         key = lambda s: s if isinstance(s, str) else None
-        rows = rows.sort_values(["h", "doc_id"], kind="stable")
+        rows = rows.sort_values(["h", "doc_id", "r"], kind="stable")
         ids = [np.frombuffer(x, "<u2" if w == 2 else "<u4").astype("<u4") for x, w in zip(rows["ids"], rows["width"], strict=True)]
         names, docs_ = [key(s) for s in rows["source"]], rows["doc_id"].tolist()
         queues: dict = {s: [] for s in sorted({*names}, key=lambda s: (s is None, s or ""))}

@@ -173,7 +173,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     other = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30) < share
     # at most about most_positive rows, by the sampling above
     joined = rows.join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
-    sample = joined.select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), other.alias("other")).filter("trusted OR other")
+    sample = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), other.alias("other")).filter("trusted OR other")
 
     def made(batches):
         make = Featurizer()
@@ -181,7 +181,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
             x = make(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "trusted": b["trusted"], "other": b["other"], "x": [r.tobytes() for r in x]})
 
-    found = sample.mapInPandas(made, "doc_id long, trusted boolean, other boolean, x binary").toPandas()
+    found = sample.mapInPandas(made, "doc_id string, trusted boolean, other boolean, x binary").toPandas()
     found["h"] = [xxhash.xxh64_intdigest(str(d)) for d in found["doc_id"]]
     found = found.sort_values(["h", "x"], kind="stable")
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), BUCKETS + FORM)

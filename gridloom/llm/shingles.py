@@ -65,11 +65,23 @@ def runs(at: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of rows that lie one after another in ``data``, and each row's number of words.
+def hashed_spans(b: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, of all their bytes, eight at a time, and their lengths."""
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    h = mixed((eight[first] & _LOW_BYTES[np.minimum(length, 8)]) + length.astype(np.uint64) * _ODD)
+    rest = np.flatnonzero(length > 8)
+    k = 8
+    while len(rest):
+        left = np.minimum(length[rest] - k, 8)
+        h[rest] = mixed(h[rest] * _ODD + (eight[first[rest] + k] & _LOW_BYTES[left]))
+        k += 8
+        rest = rest[length[rest] > k]
+    return h
 
-    A hash takes in all bytes of its word, eight at a time, and its length.
-    """
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of rows that lie one after another in ``data``, and each row's number of words."""
     b = data[at[0] : at[-1]]
     ends = at[1:] - at[0]
     if not len(b):
@@ -83,18 +95,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     closes[:-1] &= ~word[1:] | cut[1:-1]
     first = np.flatnonzero(begins)
     length = np.flatnonzero(closes) + 1 - first
-    padded = np.concatenate([b, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
-    left = np.minimum(length, 8).astype(np.uint64)
-    h = mixed((eight[first] & _LOW_BYTES[left]) + length.astype(np.uint64) * _ODD)
-    rest = np.flatnonzero(length > 8)
-    k = 8
-    while len(rest):
-        left = np.minimum(length[rest] - k, 8)
-        h[rest] = mixed(h[rest] * _ODD + (eight[first[rest] + k] & _LOW_BYTES[left]))
-        k += 8
-        rest = rest[length[rest] > k]
-    return h, np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
+    return hashed_spans(b, first, length), np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
 
 
 def node_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:

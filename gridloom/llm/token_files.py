@@ -44,20 +44,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def rows(batches):
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for k in range(0, len(texts), 1000):
-                found = encoder(tokenizer).encode(texts[k : k + 1000])
-                n = np.array([len(x) + 1 for x in found], np.int64)
+            for texts, ids in ((batch.column("text").slice(k, 1000), batch.column("doc_id").slice(k, 1000)) for k in range(0, batch.num_rows, 1000)):
+                values, n = encoder(tokenizer).encode_with_end(texts, end_id, np.int32)
                 ends = np.cumsum(n)
-                values = np.full(ends[-1], end_id, np.int32)
-                for a, b, x in zip((ends - n).tolist(), ends.tolist(), found, strict=True):
-                    values[a : b - 1] = x
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), ids.slice(k, 1000), pa.array(start + ends - n), pa.array(n, pa.int32()), lists], ["part", "doc_id", "part_start", "n_tokens", "tokens"])
+                columns = [pa.array(np.full(len(n), part, np.int32)), ids, pa.array(start + ends - n), pa.array(n, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "part_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.xxhash64(text).alias("h"))
-    dealt = narrow.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    # equal rows have places too, so that any number of them can be cut into ranges
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).alias("p")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.xxhash64(text).alias("h"), place)
+    dealt = narrow.repartitionByRange("doc_id", "h", "p").sortWithinPartitions("doc_id", "h")
     dealt.select("doc_id", "text").mapInArrow(rows, ROWS).write.options(**PARQUET).parquet(path)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import language_id as li
 from gridloom.llm import quality_model as qm
@@ -38,6 +39,68 @@ def test_both_directions_are_read():
     assert (net.probabilities(x, n)[:, 0].argmax(axis=1) == target[:300]).mean() > 0.95
 
 
+@pytest.fixture(scope="module")
+def random_net():
+    rng, h = np.random.default_rng(6), 4
+    return li.Network(*(rng.normal(0, 0.7, s).astype(np.float32) for s in [(2, 256, 3 * h), (2, h, 3 * h), (2 * h, 3), (3,)]), ["a", "b", "c"])
+
+
+def brute(net, text):
+    """Byte by byte: the states of each chunk from CONTEXT bytes before it and behind it on."""
+    sig, h = lambda x: 1 / (1 + np.exp(-x)), net.u.shape[1]
+
+    def states(d, some):
+        s, out = np.zeros(h), []
+        for byte in some:
+            a, r = net.e[d][byte].astype(float), s @ net.u[d]
+            z, g = sig(a[:h] + r[:h]), sig(a[h : 2 * h] + r[h : 2 * h])
+            new = np.tanh(a[2 * h :] + g * r[2 * h :])
+            s = new + z * (s - new)
+            out.append(s)
+        return out
+
+    b, total = text.encode(), np.zeros(len(net.labels))
+    for k in range(0, len(b), li.CHUNK):
+        low, end, high = max(0, k - li.CONTEXT), min(k + li.CHUNK, len(b)), min(len(b), k + li.CHUNK + li.CONTEXT)
+        ahead, back = states(0, b[low:end])[k - low :], states(1, b[k:high][::-1])[::-1][: end - k]
+        for f, g in zip(ahead, back, strict=True):
+            y = np.exp(np.concatenate([f, g]) @ net.v + net.c)
+            total += y / y.sum()
+    return total
+
+
+def test_reader_equals_a_byte_by_byte_pass(random_net):
+    from gridloom.llm.shingles import arrow_bytes
+
+    texts = ["", "a", "zwölf Boxkämpfer jagen", " ".join(f"w{k}" for k in range(400)), "x" * li.CHUNK, "y" * (2 * li.CHUNK + 1), "日本語"]
+    data, at = arrow_bytes(li.pa.array(texts), lower=False)
+    got = li.Reader(random_net).sums(data, at)
+    assert np.allclose(got, [brute(random_net, t) for t in texts], rtol=1e-3, atol=1e-3)
+
+
+def test_states_cross_words(random_net):
+    from gridloom.llm.shingles import arrow_bytes
+
+    words = "the quick brown fox jumps over".split()
+    data, at = arrow_bytes(li.pa.array([" ".join(words), " ".join(words[::-1])]), lower=False)
+    a, b = li.Reader(random_net).sums(data, at)
+    assert np.abs(a - b).max() > 0.01
+
+
+def test_query_equals_the_pass_over_each_text(more):
+    docs = more[0].filter("doc_id < 40 AND length(text) < 5000")
+    net = fit_languages(more[0])
+    for r in identify_languages(docs.select("doc_id", "text", F.col("text").alias("t")), net).collect():
+        if r["t"] and any(c.isalpha() for c in r["t"]):
+            p = brute(net, r["t"]) / len(r["t"].encode())
+            assert abs(p.max() - r["score"]) < 1e-3 and (r["lang_pred"] == net.labels[p.argmax()] or np.sort(p)[-2] > p.max() - 1e-3)
+
+
+def test_ids_of_other_types(more):
+    docs, labels = (x.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))) for x in more)
+    assert quality_classifier(docs, labels).filter("predicted = 1").count() > 100
+
+
 def test_languages_of_held_out_documents(more):
     docs, _ = more
     lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
@@ -71,8 +134,6 @@ def test_quality_of_held_out_documents(more):
 
 
 def test_quality_labels_of_the_held_fold_and_label_0_are_not_read(more):
-    from pyspark.sql import functions as F
-
     docs, labels = more
     docs = docs.filter("doc_id < 300")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5

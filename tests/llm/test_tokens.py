@@ -10,7 +10,7 @@ from gridloom.llm.queries import tokenizer_path
 from gridloom.llm.token_files import read_metadata, read_tokens, token_digests, write_token_files
 from gridloom.llm.tokens import ChunkEncoder
 
-ODD = ["", "  ", "foo<|endoftext|>bar", "<|ENDOFTEXT|>", "ΑΣ ΣΑΣ İstanbul ǅ", "é x́ y z\x1cq w", "it's I'LL 12.3%% ²³ ½", "\r\n\x0b\x0c a\x85b", "straße ẞ Außü", "日本語 テスト🙂🙂", "a" * 100 + "é" * 60, "don't  'tis ''s"]
+ODD = ["", "  ", "foo<|endoftext|>bar", "<|ENDOFTEXT|>", "ΑΣ ΣΑΣ İstanbul ǅ", "é x́ y z\x1cq w", "it's I'LL 12.3%% ²³ ½", "\r\n\x0b\x0c a\x85b", "straße ẞ Außü", "日本語 テスト🙂🙂", "a" * 100 + "é" * 60, "don't  'tis ''s", "x'", "'s", "'", "y'l", "'ll", "a'r", "'vex", "12'd3", "a×b", "'é", "d'été 're're's"]
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +28,37 @@ def test_encoder_equals_the_library(documents, plain):
     assert [x.tolist() for x in ChunkEncoder(tokenizer_path()).encode(texts)] == want
 
 
+def test_encoder_equals_the_library_on_random_texts(plain):
+    rng = np.random.default_rng(4)
+    letters = [*"abstrelvmd''''  \n\t01.,-éÀß", '"', "'s", "'re", "'ll", "×", "<|", "<", "|", "日", "\x1c", "\r"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(5000)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in ChunkEncoder(tokenizer_path()).encode(texts)] == want
+
+
+def test_encoder_with_a_small_memory(documents, plain, monkeypatch):
+    from gridloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 300)
+    monkeypatch.setattr(tokens, "CACHE_IDS", 2000)
+    encoder, texts = ChunkEncoder(tokenizer_path()), [r["text"] for r in documents.limit(60).collect()]
+    for _ in range(2):
+        for t in texts:
+            assert encoder.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_a_file_that_cuts_otherwise_is_left_to_the_library(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"][1]["content"] = "_"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    want = [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(ODD, add_special_tokens=False)]
+    assert not ChunkEncoder(str(path)).by_piece and [x.tolist() for x in ChunkEncoder(str(path)).encode(ODD)] == want
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
@@ -109,7 +140,8 @@ def packed(rows, docs, tok, window):
 def test_packing_documents(documents, plain, monkeypatch):
     from gridloom.llm import packing
 
-    monkeypatch.setattr(packing, "SHARD_CHARS", 50_000)
+    monkeypatch.setattr(packing, "SHARD_IDS", 12_000)
+    monkeypatch.setattr(packing, "BLOCK_KEYS", 3)
     rows, docs = pack_by_mixture(documents, tokenizer_path()).collect(), documents.collect()
     packed(rows, docs, plain, 2048)
     text = {d["doc_id"]: ids(plain, d["text"], 1) for d in docs}
@@ -120,15 +152,39 @@ def test_packing_documents(documents, plain, monkeypatch):
         assert r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes())
         ends[r["doc_id"]] = r["start"] + r["length"]
     assert ends == {k: len(x) for k, x in text.items()}
-    # deficits carry over shards: along the tape each source stays near its share
+    # deficits carry over shards: at every place of the tape each source has had its share, but for what a shard's queues hold back
     total = sum(map(len, text.values()))
-    share, seen, at = {}, {}, 0
-    for r in rows:
-        share[r["source"]] = share.get(r["source"], 0) + r["length"] / total
+    whole, seen, at = {}, {}, 0
+    for d in docs:
+        whole[d["source"]] = whole.get(d["source"], 0) + len(text[d["doc_id"]])
+    most = max(map(len, text.values()))
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
         seen[r["source"]] = seen.get(r["source"], 0) + r["length"]
         at += r["length"]
-    assert seen == pytest.approx({s: p * total for s, p in share.items()})
+        assert all(abs(seen.get(s, 0) - n / total * at) <= 12_000 + most for s, n in whole.items())
+    assert seen == whole
+
+
+def test_running_sums(spark):
+    from gridloom.llm.packing import running
+
+    rows = spark.createDataFrame([(k, s, k + 1) for k in range(10_000) for s in (None, "a")], "k long, s string, n long").repartition(3)
+    got = {(r["k"], r["s"]): r["b"] for r in running(rows, "k", "n", "b", "s").collect()}
+    assert got == {(k, s): k * (k + 1) // 2 for k in range(10_000) for s in (None, "a")}
+
+
+def test_many_equal_rows_are_spread(spark, plain):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 20_000, "doc_id long, text string, source string").repartition(4)
+    rows = pack_by_mixture(docs, tokenizer_path()).collect()
+    packed(rows, docs.collect(), plain, 2048)
+    path = staged_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_token_files(docs, path, tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = read_tokens(spark, path).groupBy("part").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) <= 10_000
 
 
 def test_packing_odd_rows(odd, none, plain):
