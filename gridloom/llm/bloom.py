@@ -1,52 +1,138 @@
-"""A Bloom filter of bounded size, filled by an ordinary aggregation."""
+"""Bloom filters in slices of bounded size, filled from each task's own sorted positions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Probes of the filter, its bits a row, and the least and most bits: at most 2**28 bits (32 MB) are ever broadcast.
-PROBES, BITS_A_ROW, LEAST_BITS, MOST_BITS = 4, 16, 1 << 16, 1 << 28
+from .common import staged
+from .shingles import mixed
+
+#: Bits a row, of which two are set; bits of a slice at most (32 MB): keys fall into as many slices as all rows need, so a filter
+#: of any number of rows is as thin, and no more than one slice is ever sent about at once.
+BITS_A_ROW, LEAST_BITS, SLICE_BITS = 32, 1 << 16, 1 << 28
+#: A slice is merged in blocks: about BLOCKS of them in all, of at most MOST_BLOCK bits. Positions that a task holds at once.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, HELD = 512, 1 << 16, 1 << 24, 4_000_000
+
+
+class Layout:
+    """Slices and bits of a slice for a number of rows."""
 
+    def __init__(self, rows: int):
+        want = max(LEAST_BITS, rows * BITS_A_ROW)
+        self.slices = -(-want // SLICE_BITS)
+        self.bits = 1 << (-(-want // self.slices) - 1).bit_length()
+        self.block = min(self.bits, MOST_BLOCK, max(LEAST_BLOCK, 1 << (self.slices * self.bits // BLOCKS).bit_length()))
 
-def filter_bits(rows: int) -> int:
-    """A power of two, about BITS_A_ROW bits a row, within the fixed bounds."""
-    want = max(LEAST_BITS, min(MOST_BITS, rows * BITS_A_ROW))
-    return 1 << (want - 1).bit_length()
+    def places(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The slice of each key (16 evenly distributed bytes or more) and its two positions there."""
+        raw = b"".join([k[:16] for k in keys.to_pylist()])
+        w = np.frombuffer(raw, "<u8").reshape(-1, 2)
+        part = (mixed(w[:, 0] ^ (w[:, 1] >> np.uint64(1))) % np.uint64(self.slices)).astype(np.int64)
+        return part, (w & np.uint64(self.bits - 1)).astype(np.int64)
 
 
-def probes(key: str, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(PROBES)]
+def _packed(at: np.ndarray) -> bytes:
+    """Ascending positions as the bytes of their steps, low bytes first, so that the shuffle's compression takes the high ones out."""
+    return np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def marked_bits(rows: DataFrame, key: str, bits: int, least: int = 1) -> np.ndarray:
-    """The filter of the positions that ``least`` rows or more have set, as 64-bit words.
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
 
-    Counting positions is an ordinary two-step aggregation, so no task holds a whole filter; what reaches the driver
-    is at most ``bits`` / 64 words, bounded by MOST_BITS.
+
+def marks(rows: DataFrame, key: str, layout: Layout, least: int = 1) -> DataFrame:
+    """(slice, block, at): the positions that ``least`` rows (one or two) or more have set.
+
+    A task sorts its own positions and sends, for each block, those set once and those set again; rows themselves don't
+    move. Blocks are merged one at a time.
     """
-    at = rows.select(F.explode(F.array(*probes(key, bits))).alias("at"))
-    often = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    words = often.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("mask"))
-    table = words.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[table["word"].to_numpy()] = table["mask"].to_numpy()
+    blocks, size = layout.bits // layout.block, layout.block
+
+    def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        n, at = np.diff(np.append(first, len(at))), at[first]
+        cuts = np.flatnonzero(np.diff(at // size, prepend=-1))
+        out = []
+        for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist() if len(at) else [], strict=True):
+            some = at[a:z] % size
+            out.append((int(at[a] // size), _packed(some[n[a:z] == 1]), _packed(some[n[a:z] > 1])))
+        number = np.array([x[0] for x in out], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(number // blocks), pa.array(number % blocks), *[pa.array([x[k] for x in out], pa.binary()) for k in (1, 2)]], ["slice", "block", "once", "again"])
+
+    def marked(batches):
+        held, n = [], 0
+        for b in batches:
+            part, at = layout.places(b.column(0))
+            # two equal positions of one key are one
+            same = at[:, 0] == at[:, 1]
+            held.append(np.concatenate([part * layout.bits + at[:, 0], (part * layout.bits + at[:, 1])[~same]]))
+            n += len(held[-1])
+            if n > HELD:
+                yield from sent(held)
+                held, n = [], 0
+        yield from sent(held)
+
+    def merged(batches):
+        now, seen, again = None, np.zeros(size, bool), np.zeros(size, bool)
+
+        def done():
+            at = np.flatnonzero(seen if least == 1 else again)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([_packed(at)], pa.binary())], ["slice", "block", "at"])
+
+        for b in batches:
+            for part, block, once, more in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (part, block) != now:
+                    if now:
+                        yield done()
+                    now = (part, block)
+                    seen[:] = again[:] = False
+                at = _unpacked(once)
+                again[at[seen[at]]] = True
+                seen[at] = True
+                at = _unpacked(more)
+                again[at] = seen[at] = True
+        if now:
+            yield done()
+
+    parts = rows.select(key).mapInArrow(marked, "slice long, block long, once binary, again binary")
+    return parts.repartition("slice", "block").sortWithinPartitions("slice", "block").mapInArrow(merged, "slice long, block long, at binary")
+
+
+def slice_bits(marks: DataFrame, part: int, layout: Layout) -> np.ndarray:
+    """One slice's filter as bytes of eight bits; a slice has at most SLICE_BITS, which bounds what comes to the driver."""
+    out = np.zeros(layout.bits // 8, np.uint8)
+    for r in marks.filter(F.col("slice") == part).toLocalIterator():
+        block = np.zeros(layout.block, bool)
+        block[_unpacked(bytes(r["at"]))] = True
+        out[r["block"] * layout.block // 8 : (r["block"] + 1) * layout.block // 8] = np.packbits(block, bitorder="little")
     return out
 
 
-def possible(rows: DataFrame, key: str, words: np.ndarray) -> Column:
-    """Whether all of a key's positions are set."""
-    shared, bits = rows.sparkSession.sparkContext.broadcast(words), len(words) * 64
+def tested(rows: DataFrame, key: str, part: int, words: np.ndarray, layout: Layout) -> DataFrame:
+    """Those of ``rows`` whose key falls into a slice, with ``maybe``: whether both of its positions are set."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def test(batches):
+        for b in batches:
+            own, at = layout.places(b.column(key))
+            here = own == part
+            at, b = at[here], b.filter(pa.array(here)) if layout.slices > 1 else b
+            hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "maybe"])
+
+    return rows.mapInArrow(test, T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())]))
 
-    @F.pandas_udf(T.BooleanType())
-    def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        words, hit = shared.value, np.ones(len(a), bool)
-        for x in (a, b, c, d):
-            x = x.to_numpy(np.int64)
-            hit &= (words[x >> 6] >> (x & 63)) & 1 == 1
-        return pd.Series(hit)
 
-    return test(*probes(key, bits))
+def in_slices(rows: DataFrame, key: str, count: int, least: int, write) -> None:
+    """Hand each slice's tested rows to ``write``, one slice after another."""
+    layout = Layout(count)
+    found = staged(marks(rows, key, layout, least), "marks")
+    for part in range(layout.slices):
+        write(tested(rows, key, part, slice_bits(found, part, layout), layout))

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bloom import filter_bits, marked_bits, possible
-from .common import SPACE, join_by_weight, numbered, staged, text_or_empty, without_rows
+from .bloom import in_slices
+from .common import SPACE, join_by_weight, numbered, staged, staged_path, text_or_empty, without_rows
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting white space ([\\x20\\x09-\\x0D]); of equal texts the row with the
-    most code points, then the smallest doc_id, stays. Pass 1 marks in a Bloom filter of counters what two rows or
-    more have set; pass 2 sends only rows whose every probe is marked through the exact grouping by digest. All others
-    can have no equal and pass straight through. Past MOST_BITS / BITS_A_ROW rows the filter keeps its size and lets
-    more rows through to the exact grouping; results stay the same. Texts never shuffle, only digests do.
+    most code points, then the smallest doc_id, stays. Pass 1 marks in a Bloom filter what two rows or more have set: tasks
+    send their rows' bit positions, a few bytes a row, and no rows. Pass 2 tests every row; only rows whose positions are all
+    marked go through the exact grouping by digest. All others can have no equal and pass straight through. A filter for
+    more rows has more slices, tested one after another, so it never fills up. Texts never shuffle, only digests do.
 
     Nulls: a null text counts as empty; a null doc_id sorts after all others and stays null. Rows repeated in full are
     separate rows of a group, of which exactly one is kept. An empty table gives an empty result. Other columns are
@@ -37,8 +38,9 @@ def _decided(docs: DataFrame, text: str, doc_id: str, row: Column) -> DataFrame:
         "digests",
     )
     total = digests.count()
-    marked = marked_bits(digests, "sha", filter_bits(total), least=2)
-    tested = digests.withColumn("maybe", possible(digests, "sha", marked))
+    path = staged_path(docs.sparkSession, "tested")
+    in_slices(digests, "sha", total, 2, lambda df: df.write.mode("append").parquet(path))
+    tested = docs.sparkSession.read.schema(T.StructType([*digests.schema.fields, T.StructField("maybe", T.BooleanType())])).parquet(path)
     alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "row")
     again = tested.filter("maybe").drop("maybe")
     best = F.min(F.struct((-F.col("n_chars")).alias("size"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small_or_salted, numbered, staged, text_or_empty
+from .common import WORD, join_by_weight, join_small_or_salted, numbered, staged, text_or_empty
 
 #: Units that one task pairs off in a row; a node of the reduction tree has about this many children.
 FAN_IN = 128
@@ -46,7 +46,7 @@ def _pivot(state: Column, x: Column, seed: int) -> Column:
     cur = state["cur"]
     room_c, mass_c = (1 - cur["p"]) * cur["size"], cur["p"] * cur["size"]
     room_x, mass_x = (1 - x["p"]) * x["size"], x["p"] * x["size"]
-    draw = F.pmod(F.xxhash64(cur["h"], x["h"], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(cur["h"], x["h"], cur["twin"], x["twin"], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     moves = F.struct(F.least(room_c, mass_x).alias("up"), F.least(mass_c, room_x).alias("down"), draw.alias("draw"))
 
     def chosen(m: Column) -> Column:
@@ -68,12 +68,12 @@ def _pivot(state: Column, x: Column, seed: int) -> Column:
 
 
 def _unit(u: Column, p: Column) -> Column:
-    return F.struct(u["size"].alias("size"), u["h"].alias("h"), u["doc_id"].alias("doc_id"), u["row"].alias("row"), u["copies"].alias("copies"), p.alias("p"))
+    return F.struct(u["size"].alias("size"), u["h"].alias("h"), u["twin"].alias("twin"), u["doc_id"].alias("doc_id"), u["row"].alias("row"), u["copies"].alias("copies"), p.alias("p"))
 
 
 def _paired(units: DataFrame, seed: int) -> DataFrame:
     """Rows of (source, blocks, unit): each block of a source is paired off, largest units first, to decided units and one left over."""
-    block = F.pmod(F.xxhash64(F.col("unit.h"), F.lit(seed)), F.col("blocks"))
+    block = F.pmod(F.xxhash64(F.col("unit.h"), F.col("unit.twin"), F.lit(seed)), F.col("blocks"))
     listed = units.groupBy("source", "blocks", block.alias("block")).agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
     first = F.col("units")[0]
     start = F.struct(first.alias("cur"), F.slice("units", 1, 0).alias("done"))
@@ -95,6 +95,25 @@ def _closed(roots: DataFrame) -> DataFrame:
     return roots.select("source", F.explode(F.aggregate("done", start, turned)["out"]).alias("unit"))
 
 
+def _with_twins(slim: DataFrame) -> DataFrame:
+    """``slim`` with twin: 0, 1, ... among rows of equal doc_id and text, whose places thus differ; the same numbers however the
+    rows are dealt. Tasks number their own rows, and a row for each of them says where they begin."""
+    twins = staged(slim.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "mix-twins")
+    if twins.isEmpty():
+        return slim.withColumn("twin", F.lit(0).cast("long")).drop("part")
+    total = slim.count()
+    hot = twins.filter(F.col("n") * 200 > total).select("h")
+    alone = slim.join(F.broadcast(hot), "h", "left_anti").join(twins, "h", "left_anti").withColumn("twin", F.lit(0).cast("long"))
+    many = join_by_weight(slim, twins, "h", "n", total).drop("n")
+    sizes = many.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("h", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("h", "part").orderBy("row"))
+    many = many.withColumn("place", place).join(sizes, ["h", "part"]).withColumn("twin", (F.col("before") + F.col("place") - 1).cast("long"))
+    columns = [c for c in slim.columns if c != "part"] + ["twin"]
+    return staged(alone.select(columns).unionByName(many.select(columns)), "mix-rows")
+
+
 def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", doc_id: str = "doc_id", fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
@@ -103,8 +122,9 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     source are dealt to blocks of about ``fan_in`` by hash and paired off there, which leaves one undecided unit a
     block; these go up a tree in which each level is dealt and paired the same way, until a source has one unit left.
     Every pairing preserves the source's words; what the last unit's rounding adds or loses (half of one document at
-    most) is given back within that last node, see _closed(). All draws are hashes of doc_id and text: reruns agree on
-    any number of partitions. A hot source only has more blocks.
+    most) is given back within that last node, see _closed(). All draws are hashes of doc_id, text and, among
+    rows that are equal in both, a number: reruns agree on any number of partitions. A hot source only has more blocks, and so
+    have very many equal rows.
 
     Nulls: a null text has size 0, a null source is a source, a null doc_id stays null. Documents without words, and
     all of an empty table, have nothing to decide. Rows repeated in full are separate units, each decided for itself.
@@ -124,7 +144,8 @@ def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
 def _decided(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, text: str, source: str, doc_id: str, fan_in: int, row: Column) -> DataFrame:
     """As mix_to_weights(), with each row's number."""
     size = F.coalesce(F.regexp_count(text_or_empty(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = staged(docs.select(row.cast("long").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("h")), "mix")
+    slim = staged(docs.select(row.cast("long").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("h"), F.spark_partition_id().alias("part")), "mix")
+    slim = _with_twins(slim)
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = staged(source_targets(per_source.drop("n"), weights, share, most), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -133,7 +154,7 @@ def _decided(docs: DataFrame, weights: tuple[float, ...], share: float, most: fl
     undecided = (F.col("p") > 0) & (F.col("size") > 0)
     plain = units.filter(~undecided).select("row", "doc_id", "source", "size", "copies")
 
-    unit = F.struct(F.col("size").cast("double").alias("size"), "h", "doc_id", "row", "copies", "p").alias("unit")
+    unit = F.struct(F.col("size").cast("double").alias("size"), "h", "twin", "doc_id", "row", "copies", "p").alias("unit")
     blocks = targets.select("source").join(per_source.select(F.col("source").alias("_s"), F.ceil(F.col("n") / fan_in).alias("blocks")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     level = join_small_or_salted(units.filter(undecided), blocks, "source").select("source", "blocks", unit)
     parts, seed = [], 1

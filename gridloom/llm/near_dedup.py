@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import filter_bits, marked_bits, possible
+from .bloom import Layout, marks, slice_bits, tested
 from .common import join_by_weight, numbered, staged, text_or_empty, without_rows
 from .components import connected
 from .shingles import (
@@ -170,11 +170,12 @@ def _decided(docs: DataFrame, text: str, doc_id: str, row: Column, size: int = S
     """As near_duplicates(), with each row's number."""
     full = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     # a text's own key, by which it is found again: two hashes of 64 bits
-    full = full.withColumns({"raw1": F.xxhash64("text"), "raw2": F.xxhash64(F.lit(7), "text"), "size": F.octet_length("text")})
+    raw = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("text"), F.xxhash64(F.lit(7), "text"))]))
+    full = full.withColumns({"raw": raw, "size": F.octet_length("text")})
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(full, size))
     signed = staged(_signatures(full, idf, size, bands, rows), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    form = F.first(F.struct("bands", "outline", "rarity", "raw1", "raw2", "size")).alias("form")
+    form = F.first(F.struct("bands", "outline", "rarity", "raw", "size")).alias("form")
     nodes = staged(signed.groupBy("node").agg(best, F.count(F.lit(1)).alias("copies"), form).select("node", "best", "copies", "form.*"), "near-nodes")
     total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     labels = _labels(full, nodes, idf, total, size, least)
@@ -243,6 +244,17 @@ def _met(open_: DataFrame, texts: DataFrame, idf, least: float, size: int) -> Da
     return dealt.mapInArrow(linked, "node binary, hub binary").distinct()
 
 
+def _texts_of(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) for rows of (node, raw). While one slice of a Bloom filter holds all wanted keys, it spares the shuffle most
+    other texts; copies meet before the shuffle, and the join leaves out the rest."""
+    wanted = staged(wanted, "near-wanted")
+    layout = Layout(wanted.count())
+    rows = full.select("raw", "text")
+    if layout.slices == 1:
+        rows = tested(rows, "raw", 0, slice_bits(marks(wanted, "raw", layout), 0, layout), layout).filter("maybe")
+    return rows.groupBy("raw").agg(F.first("text").alias("text")).join(wanted, "raw").select("node", "text")
+
+
 def _labels(full: DataFrame, nodes: DataFrame, idf, total: int, size: int, least: float) -> DataFrame:
     """(node, cls) for all nodes that have a link."""
     at = nodes.select("node", "rarity", "size", F.posexplode("bands").alias("band", "key")).select("node", "rarity", "size", F.xxhash64("band", "key").alias("bucket"))
@@ -256,12 +268,7 @@ def _labels(full: DataFrame, nodes: DataFrame, idf, total: int, size: int, least
     pairs = join_by_weight(pairs.join(outline, "node"), mains, "hub", "w", total).filter(_may_reach("outline", "hub_outline", F.lit(least)))
     pairs = staged(pairs.select("node", "hub", "n"), "near-pairs")
 
-    raw = staged(members.select("node").distinct().join(nodes.select("node", "raw1", "raw2"), "node"), "near-wanted")
-    marked = marked_bits(raw, "raw1", filter_bits(raw.count()))
-    # the filter spares the shuffle most texts that no bucket asks for, copies meet before it; the join leaves out the rest
-    texts = full.select("raw1", "raw2", "text").filter(possible(full, "raw1", marked)).groupBy("raw1", "raw2").agg(F.first("text").alias("text"))
-    texts = staged(texts.join(raw, ["raw1", "raw2"]).select("node", "text"), "near-texts")
-
+    texts = staged(_texts_of(full, members.select("node").distinct().join(nodes.select("node", "raw"), "node")), "near-texts")
     found = staged(_similar(pairs, texts, idf, least, size), "near-links")
     labels = connected(found)
     label = labels.select(F.col("node").alias("_node"), F.col("cls").alias("_cls"))

@@ -73,7 +73,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair; spans are written as text."""
-    turns = _table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2).alias("odd"), "turn", "role", "text")
+    turns = _table(spark, sf_dir, "conversations").select(F.shiftright("conv_id", 1).cast("long").alias("pair_id"), (F.col("conv_id") % 2).alias("odd"), "turn", "role", "text")
     pairs = preference_pairs(turns.filter("odd = 0 OR odd IS NULL"), turns.filter("odd <> 0"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["from"], s["to"])), ",")
     return pairs.select("pair_id", "segment", "chunk", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("loss_spans"))

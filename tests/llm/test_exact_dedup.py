@@ -3,8 +3,7 @@ import re
 
 import numpy as np
 
-from gridloom.llm import exact_dedup
-from gridloom.llm.bloom import PROBES, filter_bits, marked_bits, probes
+from gridloom.llm import bloom
 from gridloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
 
@@ -47,22 +46,28 @@ def test_empty(none):
     assert exact_duplicates(none).count() == 0 and drop_exact_duplicates(none).count() == 0
 
 
-def test_a_full_filter_only_lets_more_through(documents, monkeypatch):
-    want = exact_duplicates(documents).collect()
-    monkeypatch.setattr(exact_dedup, "filter_bits", lambda n: 64)
-    assert sorted(exact_duplicates(documents).collect()) == sorted(want)
+def test_many_slices_and_a_full_filter_give_the_same(documents, monkeypatch):
+    want = sorted(exact_duplicates(documents).collect())
+    monkeypatch.setattr(bloom, "LEAST_BLOCK", 1 << 9)
+    for least, most in ((1 << 10, 1 << 11), (8, 8)):
+        monkeypatch.setattr(bloom, "LEAST_BITS", least)
+        monkeypatch.setattr(bloom, "SLICE_BITS", most)
+        monkeypatch.setattr(bloom, "BITS_A_ROW", 32 if most > 8 else 0)
+        assert (bloom.Layout(200).slices > 1) == (most > 8)
+        assert sorted(exact_duplicates(documents).collect()) == want
 
 
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     from pyspark.sql import functions as F
 
     rows = spark.range(20_000).select(F.unhex(F.sha2((F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") - 19_000)).cast("string"), 256)).alias("sha"))
-    bits = filter_bits(20_000)
-    words = marked_bits(rows, "sha", bits, least=2)
-    found = rows.select("sha", *[c.alias(f"p{k}") for k, c in enumerate(probes("sha", bits))]).toPandas()
-    hit = np.ones(len(found), bool)
-    for k in range(PROBES):
-        at = found[f"p{k}"].to_numpy()
-        hit &= (words[at >> 6] >> (at & 63)) & 1 == 1
+    layout = bloom.Layout(20_000)
+    found = bloom.tested(rows, "sha", 0, bloom.slice_bits(bloom.marks(rows, "sha", layout, 2), 0, layout), layout).toPandas()
     again = found["sha"].map(bytes).duplicated(keep=False).to_numpy()
-    assert hit[again].all() and hit[~again].mean() < 0.02
+    hit = found["maybe"].to_numpy(bool)
+    assert layout.slices == 1 and len(found) == 20_000 and hit[again].all() and hit[~again].mean() < 0.02
+
+
+def test_positions_survive_packing():
+    at = np.unique(np.random.default_rng(1).integers(0, 1 << 24, 5000))
+    assert np.array_equal(bloom._unpacked(bloom._packed(at)), at) and len(bloom._unpacked(bloom._packed(at[:0]))) == 0

@@ -89,3 +89,17 @@ def test_odd_rows_and_stage(odd, none):
 def test_no_python_in_the_plan(documents):
     plan = mix_to_weights(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_equal_rows_are_spread_and_reruns_agree(spark):
+    from gridloom.llm.mixing import _with_twins
+
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 20_000 + [(None, "d", "x")] * 3000 + [(k, f"w{k} v", "y") for k in range(2, 500)], "doc_id long, text string, source string")
+    rows = mix_to_weights(docs.repartition(6)).collect()
+    assert len(rows) == 23_498
+    check(rows, 0)
+    key = lambda r: (r["doc_id"] or -1, r["source"], r["taken"])
+    assert sorted(map(key, rows)) == sorted(map(key, mix_to_weights(docs.repartition(3)).collect()))
+    slim = docs.selectExpr("monotonically_increasing_id() as row", "xxhash64(doc_id, text) as h", "spark_partition_id() as part")
+    twins = _with_twins(slim.repartition(4).withColumn("part", slim["row"] % 4)).groupBy("h").agg({"twin": "max", "row": "count"}).collect()
+    assert all(r["max(twin)"] == r["count(row)"] - 1 for r in twins)

@@ -111,7 +111,7 @@ def brute_pairs(chosen, rejected):
 def merged(rows):
     """Chunks of a segment put together; a turn without a number is a chunk of its own."""
     out = {}
-    for r in sorted(rows, key=lambda r: r["chunk"]):
+    for r in sorted(rows, key=lambda r: (r["chunk"], r["part"])):
         n, text, spans = out.get((r["pair_id"], r["segment"]), (0, "", ()))
         out[r["pair_id"], r["segment"]] = n + r["n_turns"], text + r["text"], spans + tuple((s["from"] + len(text), s["to"] + len(text)) for s in r["spans"])
     return sorted(((*k, *v) for k, v in out.items()), key=repr)
@@ -134,6 +134,18 @@ def test_long_conversations_come_in_chunks(spark):
     assert merged(got) == brute_pairs(turns("a"), turns("b")) and max(r["n_turns"] for r in got) == 64
 
 
+def test_very_many_rows_of_one_turn_come_in_parts(spark):
+    turns = lambda last: [(1, 0, "user", "hi"), *[(1, None, "assistant", f"{last}{k % 7}") for k in range(500)], *[(2, 5, "user", "same")] * 300]
+    frame = lambda rows: spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA).repartition(5)
+    got = preference_pairs(frame(turns("a")), frame(turns("b")), chunk_turns=64).collect()
+    assert merged(got) == brute_pairs(turns("a"), turns("b")) and max(r["n_turns"] for r in got) == 64
+
+
+def test_preference_formatting_runs_no_python(spark, data):
+    plan = queries.op10_preference_pairs(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "InPandas", "InArrow"))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, data, name):
     con = duckdb.connect()
