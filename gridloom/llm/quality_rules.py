@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, join_small_or_salted, staged, text_or_empty
 
-#: Character classes other than white space; what is in none of them is the last class.
-CLASSES = {"lower": r"\P{Ll}+", "upper": r"\P{Lu}+", "digit": r"\P{Nd}+", "punctuation": r"\P{P}+", "symbol": r"\P{S}+"}
-#: Common words are the COMMON most frequent ones of at most COMMON_LENGTH characters in a language.
-COMMON, COMMON_LENGTH = 25, 6
+#: Character classes beside lower-case letters and white space, most of a text; what is in none of them is the last class.
+CLASSES = {"upper": r"\P{Lu}+", "digit": r"\P{Nd}+", "punctuation": r"\P{P}+", "symbol": r"\P{S}+"}
+LOWER_OR_SPACE = r"[\p{Ll}\x20\x09-\x0D]+"
+#: Common words are the COMMON most frequent ones of a language; they are ranked among their hash's part of all words first.
+COMMON, RANK_PARTS = 25, 64
 #: Jensen-Shannon distances (base 2) above which a text is rejected, and the fewest words for each comparison.
 MOST_CLASS_DISTANCE, CLASS_WORDS = 0.27, 50
 MOST_WORD_DISTANCE, COMMON_WORDS = 0.31, 50
@@ -50,13 +51,15 @@ def most_word_distance(n_words: Column) -> Column:
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to rows with ``words``: words covered by 3-word windows whose 64-bit hash occurs twice or more.
+    """Adds n_repeat_words to rows with ``words`` (64-bit hashes): words covered by 3-word windows whose hash occurs twice or more.
 
-    Windows with their places are sorted by hash, so equal ones are neighbours: n log n, and no window leaves its row.
+    Texts whose windows all differ are done. Of others, windows with their places are sorted by hash, so equal ones are
+    neighbours: n log n, and no window leaves its row.
     """
     last = F.size("words") - 3
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.col("words")[i], F.col("words")[i + 1], F.col("words")[i + 2]).alias("h"), i.alias("i"))))
-    rows = docs.withColumn("_w", F.when(last >= 1, windows))
+    rows = docs.withColumn("_h", F.when(last >= 1, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.col("words")[i], F.col("words")[i + 1], F.col("words")[i + 2]))))
+    placed = F.sort_array(F.transform(F.col("_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("_w", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed)).drop("_h")
     same = F.zip_with("_w", F.expr("slice(_w, 2, greatest(size(_w), 1))"), lambda a, b: F.when(a["h"] == b["h"], F.struct(a["i"].alias("a"), b["i"].alias("b"))))
     rows = rows.withColumn("_same", F.filter(same, lambda x: x.isNotNull()))
     rows = rows.withColumn("_at", F.when(F.size("_same") > 0, F.array_distinct(F.concat(F.col("_same")["a"], F.col("_same")["b"]))))
@@ -65,26 +68,37 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
 
 def _with_words(docs: DataFrame, text: str, lang: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), text_or_empty(text).alias("text")).withColumn("words", F.array_remove(F.split("text", SPACE), ""))
+    """doc_id, text (null: empty), key (the language), words (64-bit hashes) and word_chars."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("key"), text_or_empty(text).alias("text"))
+    rows = rows.withColumn("_words", F.array_remove(F.split("text", SPACE), ""))
+    return rows.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars")).drop("_words")
 
 
 def common_words(rows: DataFrame, most: int = COMMON) -> DataFrame:
-    """From (key, words): key, common (its most frequent short words), times (how often each occurs), and a row for all rows together, whose key is null and all true."""
-    short = F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH)
-    counts = staged(rows.select("key", F.explode(short).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("key"), "word", "n", F.lit(True).alias("all"))
-    both = counts.filter("key IS NOT NULL").select("key", "word", "n", F.lit(False).alias("all")).unionByName(every)
-    order = W.partitionBy("all", "key").orderBy(F.col("n").desc(), "word")
-    top = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    ranked = top.groupBy("all", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("ranked"))
-    return ranked.select("all", "key", F.col("ranked.word").alias("common"), F.col("ranked.n").alias("times"))
+    """From (key, words): key, common (its most frequent words, of all it has), times (how often each occurs), and a row for all
+    rows together, whose key is null and all true.
+
+    Words are counted by tasks first and ranked in RANK_PARTS parts, so that what meets in one task is at most ``most`` of each.
+    """
+    number = F.when(F.col("key").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("key"))
+    counts = staged(rows.select(number.alias("k"), F.explode("words").alias("word")).groupBy("k", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(0).cast("long").alias("k"), "word", "n", F.lit(True).alias("all"))
+    both = counts.filter("k <> 0").select("k", "word", "n", F.lit(False).alias("all")).unionByName(every)
+    order = [F.col("n").desc(), F.col("word")]
+    part = F.pmod("word", F.lit(RANK_PARTS))
+    some = both.withColumn("part", part).withColumn("rank", F.row_number().over(W.partitionBy("all", "k", "part").orderBy(*order))).filter(F.col("rank") <= most)
+    top = some.withColumn("rank", F.row_number().over(W.partitionBy("all", "k").orderBy(*order))).filter(F.col("rank") <= most)
+    ranked = top.groupBy("all", "k").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("ranked"))
+    ranked = ranked.select("all", "k", F.col("ranked.word").alias("common"), F.col("ranked.n").alias("times"))
+    keys = rows.filter("key IS NOT NULL").select("key").distinct().withColumn("k", number)
+    return ranked.filter("NOT all").join(keys, "k").select("all", "key", "common", "times").unionByName(ranked.filter("all").select("all", F.lit(None).cast("string").alias("key"), "common", "times"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     The verdict compares two histograms of a whole text, of character classes and of its language's common words, with
-    those of all texts in that language, by Jensen-Shannon distance. A text with too few words for a comparison passes
+    those of all texts in that language, by Jensen-Shannon distance; words are 64-bit hashes throughout. A text with too few words for a comparison passes
     it (the distance is then null). References are counted over all documents in two scans: one finds the common words
     and how often they occur, one takes all other counts; the last step works on a few numbers a document. Every
     language has references of its own, however rare it is; their table is broadcast while its rows are few, else joined
@@ -94,31 +108,34 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     all. Empty texts fail the base rules. Repeated rows are judged each; an empty table gives no rows. Other columns are
     ignored.
     """
-    keyed = _with_words(docs, text, lang, doc_id).withColumn("key", F.col("lang").cast("string"))
+    keyed = _with_words(docs, text, lang, doc_id)
     top = staged(common_words(keyed.select("key", "words")), "common-words")
     everyone = next((r["common"] for r in top.filter("all").collect()), [])
     keyed = join_small_or_salted(keyed, top.filter("NOT all").select("key", "common"), "key", "left")
-    none = F.array().cast("array<string>")
-    keyed = keyed.withColumn("common", F.when(F.col("key").isNull(), F.array(*map(F.lit, everyone)).cast("array<string>")).otherwise(F.coalesce("common", none)))
-    keyed = keyed.withColumn("hits", F.filter("words", lambda w: F.array_contains("common", w)))
+    none = F.array().cast("array<bigint>")
+    keyed = keyed.withColumn("common", F.when(F.col("key").isNull(), F.array(*map(F.lit, everyone)).cast("array<bigint>")).otherwise(F.coalesce("common", none)))
+    keyed = keyed.withColumn("hits", F.filter("words", lambda w: F.array_contains("common", w))).withColumn("rest", F.regexp_replace("text", LOWER_OR_SPACE, ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _repeats(keyed.withColumn("lines", lines)).select(
         "doc_id",
         "key",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        "word_chars",
+        F.regexp_count("rest", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        *[F.length(F.regexp_replace("text", pattern, "")).alias(name) for name, pattern in CLASSES.items()],
+        (F.col("word_chars") - F.length("rest")).alias("lower"),
+        *[F.length(F.regexp_replace("rest", pattern, "")).cast("long").alias(name) for name, pattern in CLASSES.items()],
+        F.length("rest").cast("long").alias("n_rest"),
         F.transform("common", lambda w: F.size("hits") - F.size(F.array_remove("hits", w))).alias("common_counts"),
         F.size("hits").alias("n_common"),
     )
     slim = staged(counted, "rules")
-    classes = F.array(*CLASSES, F.greatest(F.col("word_chars") - reduce(lambda a, b: a + b, map(F.col, CLASSES)), F.lit(0))).alias("classes")
+    others = F.greatest(F.col("n_rest") - reduce(lambda a, b: a + b, map(F.col, CLASSES)), F.lit(0).cast("long"))
+    classes = F.array("lower", *CLASSES, others).alias("classes")
     slim = slim.select("*", classes, F.concat("common_counts", F.array(F.col("n_words") - F.col("n_common"))).alias("hist"))
     # sums by language, and of all documents, whose key is null; how often common words occur is known from finding them
-    n = len(CLASSES) + 1
+    n = len(CLASSES) + 2
     sums = [F.array(*[F.coalesce(F.sum(F.get("classes", F.lit(i))), F.lit(0)) for i in range(n)]).alias("classes"), F.sum("n_words").alias("n_words")]
     by_key = staged(slim.groupBy("key").agg(*sums), "rule-sums")
     every = by_key.agg(*sums).select(F.lit(None).cast("string").alias("key"), "classes", "n_words")

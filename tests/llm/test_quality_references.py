@@ -1,7 +1,12 @@
 """References of rare and of missing languages, and word comparisons of short texts."""
 
+import math
 import random
+import re
+import unicodedata
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +46,61 @@ def held_to_their_own(docs):
     assert rows[9003]["word_distance"] > quality_rules.MOST_WORD_DISTANCE and not rows[9003]["kept"]
 
 
+def brute_verdicts(rows):
+    """Distances of each text, with references counted over all."""
+    texts = [(d, lang, t or "", re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, lang, t in rows]
+
+    def classes(t):
+        n = Counter()
+        for c in t:
+            if not re.match(r"[\x20\x09-\x0D]", c):
+                k = unicodedata.category(c)
+                n["lower" if k == "Ll" else "upper" if k == "Lu" else "digit" if k == "Nd" else k[0] if k[0] in "PS" else "other"] += 1
+        return [n[k] for k in ("lower", "upper", "digit", "P", "S", "other")]
+
+    def distance(p, q):
+        p, q = np.array(p, float), np.array(q, float)
+        p, q = p / (p.sum() or 1), q / (q.sum() or 1)
+        m = (p + q) / 2
+        part = lambda x: 0.5 * (x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()
+        return math.sqrt(max(0.0, part(p) + part(q)))
+
+    refs = {}
+    for lang in {x[1] for x in texts}:
+        own = [x for x in texts if lang is None or x[1] == lang]
+        n = Counter(w for x in own for w in x[3])
+        top = sorted(n.values(), reverse=True)[:25]
+        refs[lang] = np.sum([classes(x[2]) for x in own], axis=0), n, top, sum(n.values())
+    out = []
+    for d, lang, t, w in texts:
+        ref, n, top, total = refs[lang]
+        class_distance = distance(classes(t), ref) if len(w) >= 50 else None
+        # words tied at the last place may be taken either way: then the distance isn't compared
+        tied = sum(v >= top[-1] for v in n.values()) > 25 if len(top) == 25 else False
+        common = sorted(n, key=lambda x: -n[x])[:25]
+        own = Counter(w)
+        hits = [own[x] for x in common]
+        word_distance = distance([*hits, len(w) - sum(hits)], [*[n[x] for x in common], total - sum(n[x] for x in common)]) if len(w) >= 50 else None
+        out.append((d, class_distance, None if tied else word_distance, tied))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark, data, odd):
+    for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd):
+        want = sorted(brute_verdicts([(r["doc_id"], r["lang"], r["text"]) for r in docs.collect()]), key=repr)
+        got = sorted(quality_rules.quality_rules(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+        by = {}
+        for d, c, w, tied in want:
+            by.setdefault(d, []).append((c, w, tied))
+        for r in got:
+            assert any(
+                (c is None) == (r["class_distance"] is None) and (c is None or abs(c - r["class_distance"]) < 1e-6) and (tied or (w is None) == (r["word_distance"] is None) and (w is None or abs(w - r["word_distance"]) < 1e-6))
+                for c, w, tied in by[r["doc_id"]]
+            )
+            limit = 0.31 if r["n_words"] >= 100 else math.sqrt(0.31**2 + 25 / (8 * math.log(2)) / max(1, r["n_words"]))
+            assert r["kept"] == (not r["base_failed"] and (r["class_distance"] or 0) <= 0.27 and (r["word_distance"] or 0) <= limit)
+
+
 def test_rare_and_missing_languages(rare):
     held_to_their_own(rare)
 
