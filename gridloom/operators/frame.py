@@ -17,6 +17,8 @@ from gridloom.plans.storage import with_ordinal
 from gridloom.sources import files
 
 JOIN_HOW = {"inner": "inner", "left": "left", "outer": "outer"}
+#: Sketches enclose a quartile by this share of the rows on both sides.
+QUARTILE_SPAN = 0.002
 KINDS = {"int64": T.LongType(), "float64": T.DoubleType(), "bool": T.BooleanType(), "utf8": T.StringType()}
 
 
@@ -78,6 +80,11 @@ class Frame:
         self._need(*cols)
         return self._like(self.df.select(*cols))
 
+    def column_length(self, name: str) -> int:
+        """Values of a column, nulls too."""
+        self._need(name)
+        return self.df.select(name).count()
+
     def get_column(self, name: str) -> DataFrame | None:
         return self.df.select(name) if name in self.df.columns else None
 
@@ -182,27 +189,51 @@ class Frame:
     def describe(self) -> DataFrame:
         """A row a column: column, count, mean, std (population), min, 25%, 50%, 75%, max.
 
-        A quartile is the value at place floor(n * q) of the sorted values, found by ranges, so that no task sorts a
-        whole column. Columns that aren't numeric, or have no values, have NaN everywhere. Runs jobs; the result is local.
+        A quartile is the value at place floor(n * q) of the sorted values. One pass gives all columns' sums and, from sketches,
+        two values that enclose each quartile; a second counts what lies below; a third sorts, by ranges, only what lies between
+        them, of all columns at once. Columns that aren't numeric, or have no values, have NaN everywhere. Runs jobs; the result
+        is local.
         """
         names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
         make = {"count": F.count, "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
         numeric = [f.name for f in self.df.schema if is_number(f.dataType)]
-        aggs = [m(F.col(c)).cast("double").alias(f"{s}{k}") for k, c in enumerate(numeric) for s, m in make.items()]
-        stats = self.df.agg(*aggs).first() if aggs else None
+        values = self.df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{k}") for k, c in enumerate(numeric)])
+        near = [F.lit(q + d) for q in (0.25, 0.5, 0.75) for d in (-QUARTILE_SPAN, QUARTILE_SPAN)]
+        aggs = [m(f"v{k}").cast("double").alias(f"{s}{k}") for k in range(len(numeric)) for s, m in make.items()]
+        aggs += [F.percentile_approx(f"v{k}", F.array(*near), int(4 / QUARTILE_SPAN)).alias(f"near{k}") for k in range(len(numeric))]
+        stats = values.agg(*aggs).first() if aggs else None
+        spans = [(k, q, int(stats[f"count{k}"] * q), *stats[f"near{k}"][2 * j : 2 * j + 2]) for k in range(len(numeric)) if stats[f"count{k}"] for j, q in enumerate((0.25, 0.5, 0.75))]
+        found = self._at_places(values, spans) if spans else {}
         out = []
         for c in self.columns:
             row = dict.fromkeys(names, NAN)
             k = numeric.index(c) if c in numeric else None
             if k is not None and stats[f"count{k}"]:
-                row |= {s: stats[f"{s}{k}"] for s in make}
-                places = {f"{int(q * 100)}%": int(row["count"] * q) for q in (0.25, 0.5, 0.75)}
-                values = self.df.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
-                found = {r["_i"]: r["v"] for r in with_ordinal(values, ["v"]).filter(F.col("_i").isin(*places.values())).collect()}
-                row |= {name: found[i] for name, i in places.items()}
+                row |= {s: stats[f"{s}{k}"] for s in make} | {f"{int(q * 100)}%": found[k, q] for q in (0.25, 0.5, 0.75)}
             out.append((c, *[row[n] for n in names]))
         return self.df.sparkSession.createDataFrame(out, "column string, " + ", ".join(f"`{n}` double" for n in names))
 
+    @staticmethod
+    def _at_places(values: DataFrame, spans: list[tuple]) -> dict:
+        """The value at a place of a sorted column, for each (column, q, place, low, high); a span that misses its place is widened
+        to the whole column."""
+        count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+        below = values.agg(*[x for j, (k, _, _, low, high) in enumerate(spans) for x in (count(F.col(f"v{k}") < low).alias(f"b{j}"), count(F.col(f"v{k}").between(low, high)).alias(f"n{j}"))]).first()
+        found, rest = {}, []
+        for j, (k, q, place, low, high) in enumerate(spans):
+            inside = below[f"b{j}"] <= place < below[f"b{j}"] + below[f"n{j}"]
+            if inside and low == high:
+                found[k, q] = low
+            else:
+                rest.append((k, q, place - (below[f"b{j}"] if inside else 0), low if inside else None, high))
+        if rest:
+            lists = [F.when(F.col(f"v{k}").between(low, high) if low is not None else F.col(f"v{k}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"v{k}").alias("v"))) for i, (k, _, _, low, high) in enumerate(rest)]
+            some = with_ordinal(values.select(F.explode(F.array_compact(F.array(*lists))).alias("x")).select("x.i", "x.v"), ["i", "v"], "_place")
+            starts = {r["i"]: r["at"] for r in some.groupBy("i").agg(F.min("_place").alias("at")).collect()}
+            places = {starts[i] + place: (k, q) for i, (k, q, place, _, _) in enumerate(rest)}
+            found |= {places[r["_place"]]: r["v"] for r in some.filter(F.col("_place").isin(*places)).collect()}
+        return found
+
     # windows and reshaping --------------------------------------------------------------------------------------
 
     def window(self, size: int) -> RowWindow:
@@ -228,8 +259,10 @@ class Frame:
     def sample(self, n: int, replace: bool = False, seed: int = 0) -> Frame:
         """Exactly n rows (all, if there are fewer and none may repeat), by random order, or n draws of a place each."""
         if not replace:
-            drawn = self.df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
-            return self._like(drawn)
+            # what can't be among the n least draws is left out before the sort: a share of n / rows and six deviations more
+            drawn, rows = self.df.withColumn("_r", F.rand(seed)), max(1, self.df.count())
+            drawn = drawn.filter(F.col("_r") <= (n + 6 * n**0.5 + 40) / rows)
+            return self._like(drawn.orderBy("_r").limit(n).drop("_r"))
         rows = with_ordinal(self.df, self.order or [F.rand(seed)])
         size = rows.count()
         if not size:
@@ -278,5 +311,33 @@ class Frame:
             raise ValueError("not a name")
         return self.df.sparkSession.sql(text.replace(f"{{{name}}}", "{df}"), df=self.df)
 
+    def equals(self, other: Frame) -> bool:
+        """Whether both have the same columns, types and rows, each as often; order is no matter unless both have one."""
+        if self.df.dtypes != other.df.dtypes:
+            return False
+        mine, others = self.df, other.df
+        if self.order and other.order:
+            mine, others = (with_ordinal(x.df, x.order, "_i") for x in (self, other))
+        return mine.exceptAll(others).isEmpty() and others.exceptAll(mine).isEmpty()
+
+    __eq__ = equals
+    __hash__ = None
+
+    def clone(self) -> Frame:
+        return Frame(self.df, self.order)
+
+    @classmethod
+    def from_pandas(cls, spark: SparkSession, frame: pd.DataFrame, order_by: Sequence[str] = ()) -> Frame:
+        return cls(spark.createDataFrame(frame), order_by)
+
     def __repr__(self) -> str:
-        return f"Frame({', '.join(f'{n}: {k}' for n, k in self.df.dtypes)})"
+        """Shape and types, and with an order the first and last five rows."""
+        rows, columns = self.shape
+        head = f"Frame {rows} x {columns}: {', '.join(f'{n}: {k}' for n, k in self.df.dtypes)}"
+        if not self.order:
+            return head
+        first = self.head(5 if rows > 10 else 10).df.toPandas().to_string(index=False)
+        if rows <= 10:
+            return f"{head}\n{first}"
+        last = self.tail(5).df.toPandas().to_string(index=False, header=False)
+        return f"{head}\n{first}\n...\n{last}"

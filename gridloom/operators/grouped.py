@@ -13,6 +13,15 @@ from gridloom.functions.ieee import is_number, nan_max, nan_min
 FUNCTIONS = {"sum": F.sum, "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max, "count": F.count}
 
 
+def _aggregate(func: Callable[[pd.Series], float]):
+    def run(values: pd.Series) -> float:
+        return func(values)
+
+    # types as objects: pandas_udf reads them, and can't read this module's postponed ones
+    run.__annotations__ = {"values": pd.Series, "return": float}
+    return F.pandas_udf(run, "double")
+
+
 class GroupBy:
     """Numeric columns only in sum, mean, std, min and max; results keep their columns' names; keys keep their type."""
 
@@ -51,7 +60,7 @@ class GroupBy:
     def apply(self, func: Callable[[pd.Series], float]) -> DataFrame:
         """A function of one group's values of one column, for every other column, as doubles. Each group is one task's batch: prefer agg()."""
         names = [c for c in self.df.columns if c not in self.by]
-        return self.df.groupBy(*self.by).agg(*[F.pandas_udf(func, "double", F.PandasUDFType.GROUPED_AGG)(F.col(c)).alias(c) for c in names])
+        return self.df.groupBy(*self.by).agg(*[_aggregate(func)(F.col(c)).alias(c) for c in names])
 
     def _edge(self, pick) -> DataFrame:
         rest = [c for c in self.df.columns if c not in self.by]

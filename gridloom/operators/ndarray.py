@@ -273,5 +273,17 @@ class NDArray:
         return self._along(axis, F.avg("value"))
 
 
+def zeros(spark: SparkSession, shape: Sequence[int]) -> NDArray:
+    return NDArray.zeros(spark, shape)
+
+
+def ones(spark: SparkSession, shape: Sequence[int]) -> NDArray:
+    return NDArray.ones(spark, shape)
+
+
+def arange(spark: SparkSession, start: float, stop: float, step: float = 1.0) -> NDArray:
+    return NDArray.arange(spark, start, stop, step)
+
+
 def vector_column(spark: SparkSession, values: np.ndarray, name: str = "value") -> DataFrame:
     return from_numpy(spark, values, name)

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from gridloom.functions.infer import infer_types
 from gridloom.operators import linalg
 from gridloom.operators.frame import Frame
-from gridloom.operators.ndarray import NDArray
+from gridloom.operators.ndarray import NDArray, arange, broadcast_shapes, broadcastable, ones, unravel, zeros
 from gridloom.plans.storage import staged_path
 from gridloom.sources import files
+from gridloom.sources.files import read_csv
 from gridloom.streaming import counts as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,6 +481,106 @@ query(
 )(lambda s, d: flat(linalg.conv2d(matrix(s, d), NDArray.from_values(s, [[1, 2, 1], [0, 0, 0], [-1, -2, -1]])), 4))
 
 
+# ---- the same operators where queries above don't show them ------------------------------------------------------
+
+query("SELECT n_nationkey, n_name, n_regionkey FROM nation", "ipc_roundtrip")(_through(files.write_ipc, files.read_ipc, "ipc"))
+query(_NATION, "json_array")(_through(files.write_json, files.read_json, "json"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def csv_orders(s, d):
+    path = staged_path(s, "csv")
+    files.write_csv(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    return files.read_csv(s, path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def parquet_orders(s, d):
+    path = staged_path(s, "parquet")
+    files.write_parquet(table(s, d, "orders"), path)
+    return files.read_parquet(s, path)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS id, 0.5::DOUBLE AS x, true AS b, 'a' AS t WHERE false")
+def empty(s, d):
+    return Frame.empty(s, {"id": "int64", "x": "float64", "b": "bool", "t": "utf8"}).df
+
+
+@query("SELECT count(c_acctbal) AS n FROM customer")
+def column_length(s, d):
+    return one(s, "n long", Frame(table(s, d, "customer")).column_length("c_acctbal"))
+
+
+@query("SELECT count(*) = (SELECT count(*) FROM (SELECT * FROM nation UNION SELECT * FROM nation)) AS itself, false AS shorter, false AS other FROM nation")
+def frame_equals(s, d):
+    f = Frame(table(s, d, "nation"), "n_nationkey")
+    return one(s, "itself boolean, shorter boolean, other boolean", f.equals(f.clone()), f.equals(f.head(3)), f.equals(Frame(table(s, d, "region"))))
+
+
+@query("SELECT (row_number() OVER (ORDER BY c_custkey) - 1) AS idx, c_acctbal AS value FROM customer")
+def arr_from_vec(s, d):
+    return NDArray.from_values(s, Frame(table(s, d, "customer"), "c_custkey")["c_acctbal"]).df
+
+
+_VECTORS = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+@query(f"SELECT 'ndim' AS name, 3::BIGINT AS value UNION ALL SELECT 'size', {_VECTORS} * 64 UNION ALL SELECT 'len', {_VECTORS} * 64 UNION ALL SELECT 'stride0', 64 UNION ALL SELECT 'stride1', 8 UNION ALL SELECT 'stride2', 1 UNION ALL SELECT 'ravel', 7 * 64 + 3 * 8 + 5 UNION ALL SELECT 'unravel0', 473 // 64 UNION ALL SELECT 'unravel1', 473 % 64 // 8 UNION ALL SELECT 'unravel2', 473 % 8")
+def arr_layout(s, d):
+    a = matrix(s, d)
+    a = a.reshape([a.shape[0], 8, 8])
+    rows = [("ndim", a.ndim), ("size", a.size), ("len", len(a)), ("ravel", a.ravel_index([7, 3, 5]))]
+    rows += [(f"stride{k}", n) for k, n in enumerate(a.strides)] + [(f"unravel{k}", n) for k, n in enumerate(unravel(473, a.shape))]
+    return s.createDataFrame(rows, "name string, value long")
+
+
+@query(f"SELECT round(max(v) FILTER (i = 7 AND j = 29), 6) AS cell2, round(max(v) FILTER (i = 7 AND j = 29), 6) AS cell3, round(max(v) FILTER (i = 2 AND j = 63), 6) AS got, 2.5::DOUBLE AS put, true AS outside FROM {_E}")
+def arr_elements(s, d):
+    a = matrix(s, d)
+    b = a.reshape([a.shape[0], 8, 8])
+    row = a[7, 29], b[7, 3, 5], a.get([2, 63]), a.set([2, 63], 2.5).get([2, 63]), a.get([a.shape[0], 0]) is None
+    return rounded(one(s, "cell2 double, cell3 double, got double, put double, outside boolean", *row), 6, "cell2", "cell3", "got")
+
+
+query(f"SELECT i * 64 + j AS idx, round(v + 2 * v, 6) + 0 AS value FROM {_E}", "arr_same_shape")(lambda s, d: flat((lambda a: a + a * 2)(matrix(s, d))))
+query("SELECT * FROM (VALUES ('2x3,3', true, '2x3'), ('4x1,5', true, '4x5'), ('2x3,2', false, ''), ('1,7x1x2', true, '7x1x2')) AS v(shapes, fits, result)", "arr_shapes")(
+    lambda s, d: s.createDataFrame([(",".join("x".join(map(str, x)) for x in (a, b)), broadcastable(a, b), "x".join(map(str, broadcast_shapes(a, b) or ()))) for a, b in (((2, 3), (3,)), ((4, 1), (5,)), ((2, 3), (2,)), ((1,), (7, 1, 2)))], "shapes string, fits boolean, result string")
+)
+query("SELECT range AS idx, CAST(range AS DOUBLE) AS value FROM range(3) UNION ALL SELECT 3, 1.0 UNION ALL SELECT 4, 0.0 UNION ALL SELECT 5, 25.0", "module_functions")(
+    lambda s, d: arange(s, 0, 3).df.unionByName(ones(s, [1]).df.withColumn("idx", F.lit(3).cast("long"))).unionByName(zeros(s, [1]).df.withColumn("idx", F.lit(4).cast("long"))).unionByName(one(s, "idx long, value double", 5, float(_read_nation(s, d).count())))
+)
+
+
+def _read_nation(s, d) -> DataFrame:
+    path = staged_path(s, "csv")
+    files.write_csv(table(s, d, "nation"), path)
+    return read_csv(s, path)
+
+
+def tall(s) -> NDArray:
+    """20,000 x 4 of rank 3: the last column is the sum of the first two."""
+    i = F.floor(F.col("id") / 4)
+    a, b, c = F.sin(i + 1), F.cos(i * 3 + 2), F.sin(i * i * 0.01)
+    value = F.when(F.col("id") % 4 == 0, a).when(F.col("id") % 4 == 1, b).when(F.col("id") % 4 == 2, c).otherwise(a + b)
+    return NDArray(s.range(80_000).select(F.col("id").alias("idx"), value.alias("value")), [20_000, 4])
+
+
+@query("SELECT CAST(3 AS BIGINT) AS rank, true AS qr_rebuilds, true AS orthogonal, true AS svd_rebuilds, true AS dependent_is_none, true AS least_squares FROM region LIMIT 1")
+def tall_factors(s, d):
+    a = tall(s)
+    m = a.to_numpy()
+    q, r = (x.to_numpy() for x in linalg.qr(a))
+    u, v, vt = (x.to_numpy() for x in linalg.svd(a))
+    own = np.abs(q).sum(axis=0) > 0
+    thin = NDArray(a.df.filter("idx % 4 < 3").select((F.floor(F.col("idx") / 4) * 3 + F.col("idx") % 4).cast("long").alias("idx"), "value"), [20_000, 3])
+    b = NDArray.arange(s, 0, 20_000)
+    x = linalg.solve(thin, b).to_numpy()
+    want = np.linalg.lstsq(m[:, :3], b.to_numpy(), rcond=None)[0]
+    near = lambda a, b: bool(np.allclose(a, b, atol=1e-9, rtol=1e-9))
+    row = linalg.rank(a), near(q @ r, m), near(q.T @ q, np.diag(own.astype(float))) and int(own.sum()) == 3, near((u * v) @ vt, m), linalg.solve(a, b) is None, bool(np.allclose(x, want, rtol=1e-6))
+    return one(s, "rank long, qr_rebuilds boolean, orthogonal boolean, svd_rebuilds boolean, dependent_is_none boolean, least_squares boolean", *row)
+
+
 # ---- streaming (an extension) -----------------------------------------------------------------------------------
 
 

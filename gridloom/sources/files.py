@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
+from glob import glob
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +51,10 @@ def read_csv_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One object a line; the union of keys, alphabetically; missing, null and nested values are empty text before the vote."""
-    df = spark.read.option("primitivesAsString", True).json(path)
+    return _voted(spark.read.option("primitivesAsString", True).json(path))
+
+
+def _voted(df: DataFrame) -> DataFrame:
     df = df.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.lit("").alias(f.name) for f in df.schema if f.name != "_corrupt_record"])
     return typed(df, infer_types(df), "zero")
 
@@ -58,8 +64,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ipc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Arrow IPC files, all batches, one task a file; paths must be open to executors."""
+    """Arrow IPC files, or folders of them, all batches, one task a file; paths must be open to executors."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    folders = [p.removeprefix("file://") for p in paths]
+    paths = [f for p in folders for f in (sorted(glob(f"{p}/*.arrow")) if os.path.isdir(p) else [p])]
     with pa.OSFile(paths[0].removeprefix("file://"), "rb") as f:
         schema = from_arrow_schema(spark, pa.ipc.open_file(f).schema)
 
@@ -116,14 +124,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One pretty-printed array in one local file, row by row through the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        rows = _finite(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-        for k, row in enumerate(rows.toLocalIterator()):
-            pretty = json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False)
-            f.write((",\n" if k else "\n") + "\n".join("  " + x for x in pretty.split("\n")))
-        f.write("\n]\n")
+    """A folder of text parts, each one pretty-printed array (or nothing, of no rows), written by all tasks."""
+
+    def arrays(batches):
+        first = True
+        for b in batches:
+            lines = []
+            for row in b.column(0).to_pylist():
+                pretty = json.dumps(json.loads(row), indent=2, ensure_ascii=False)
+                lines.append(("[\n" if first else ",\n") + "\n".join("  " + x for x in pretty.split("\n")))
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[\n]" if first else "]"])], ["value"])
+
+    rows = _finite(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(arrays, "value string").write.text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Arrays of objects in files of a folder or one file; types as read_jsonl() has them."""
+    return _voted(spark.read.option("primitivesAsString", True).option("multiLine", True).json(path))
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -131,10 +151,22 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_ipc(df: DataFrame, path: str) -> None:
-    """One Arrow IPC file through the driver."""
-    table = df.toArrow()
-    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
-        w.write_table(table)
+    """A folder of Arrow IPC files, one for each task, which must be open to executors; a file appears when it is whole."""
+    folder = path.removeprefix("file://")
+    os.makedirs(folder)
+    schema = df.limit(0).toArrow().schema
+
+    def save(batches):
+        part = TaskContext.get().partitionId()
+        name, made, rows = f"{folder}/part-{part:05d}.arrow", f"{folder}/.{part}-{TaskContext.get().taskAttemptId()}", 0
+        with pa.OSFile(made, "wb") as f, pa.ipc.new_file(f, schema) as w:
+            for b in batches:
+                w.write_batch(pa.RecordBatch.from_arrays([c.cast(k.type) for c, k in zip(b.columns, schema, strict=True)], schema=schema))
+                rows += b.num_rows
+        os.replace(made, name)
+        yield pa.RecordBatch.from_arrays([pa.array([rows])], ["rows"])
+
+    df.mapInArrow(save, "rows long").agg(F.sum("rows")).first()
 
 
 def to_arrow(df: DataFrame) -> pa.Table:

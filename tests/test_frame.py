@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -136,7 +137,9 @@ def test_writers(spark, tmp_path):
     lines = [json.loads(x) for p in (tmp_path / "l").glob("part*") for x in p.read_text().splitlines()]
     assert lines[1]["f"] is None and lines[2]["s"] is None
     files.write_json(df, str(tmp_path / "j.json"))
-    assert json.loads((tmp_path / "j.json").read_text())[0] == {"i": 1, "f": 92.0, "s": "a"}
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "j.json").glob("part*")))[0] == {"i": 1, "f": 92.0, "s": "a"}
+    files.write_json(df.limit(0), str(tmp_path / "none.json"))
+    assert all(p.read_text() == "" or json.loads(p.read_text()) == [] for p in (tmp_path / "none.json").glob("part*"))
     files.write_ipc(df, str(tmp_path / "x.arrow"))
     assert files.read_ipc(spark, str(tmp_path / "x.arrow")).count() == 3
     assert files.from_arrow(spark, pa.record_batch({"a": [1, 2]})).count() == 2
@@ -144,6 +147,23 @@ def test_writers(spark, tmp_path):
         files.series_to_numpy(df, "s")
 
 
+def test_frames_are_compared_and_shown(spark):
+    f = Frame.from_pandas(spark, pd.DataFrame({"i": range(20), "s": list("ab" * 10)}), "i")
+    assert f == f.clone() and not f.equals(f.head(3)) and not f.equals(f.select(["i"]))
+    assert not f.equals(Frame(f.df.withColumn("i", 19 - f.df["i"]), "i")) and Frame(f.df.unionByName(f.df)) != Frame(f.df)
+    assert "20 x 2" in repr(f) and "..." in repr(f) and "19" in repr(f) and "..." not in repr(f.head(3))
+    assert f.column_length("s") == 20
+
+
+def test_samples_have_all_rows_they_should(spark):
+    f = Frame(spark.range(10_000))
+    for n in (0, 1, 50, 9_999, 10_000, 20_000):
+        ids = [r[0] for r in f.sample(n, seed=5).df.collect()]
+        assert len(ids) == len(set(ids)) == min(n, 10_000)
+    ids = [r[0] for r in f.sample(5_000, seed=6).df.collect()]
+    assert abs(sum(ids) / 5_000 - 5_000) < 200
+
+
 def test_jsonl_nested_and_missing(spark, tmp_path):
     p = tmp_path / "x.jsonl"
     p.write_text('{"b": 1, "a": "x"}\n\n{"b": 2, "c": {"d": 1}}\n')
