@@ -17,7 +17,7 @@ from .shingles import arrow_bytes, runs
 #: The training sample: about this many documents of each language by hash of doc_id and no more in all, WINDOWS runs of WINDOW
 #: characters of each.
 MOST_DOCS, MOST_SAMPLE, WINDOWS, WINDOW = 250, 20_000, 12, 64
-HIDDEN, STEPS, BATCH, RATE, SEED = 8, 500, 128, 0.02, 11
+HIDDEN, STEPS, BATCH, RATE, SEED = 12, 400, 128, 0.02, 11
 #: The network runs over CHUNK bytes at a time, and starts CONTEXT bytes before (and, backwards, behind) them.
 CHUNK, CONTEXT = 512, 24
 #: What stands outside a text: the states stay as they are.

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from .common import join_small_or_salted, text_or_empty
 
+#: How the bodies of short licenses begin. A notice may stand before one on the same line, so a line is broken here.
+BODY = r"(permission\s+is\s+hereby\s+granted|permission\s+to\s+use,\s+copy|redistribution\s+and\s+use\s+in\s+source)"
 #: Lines that only say who holds the rights: 'copyright' before (c), the sign or a year, (c) before a year, the sign, or
 #: 'all rights reserved' alone. A line of a license's body may begin with 'copyright' or '(c)' too, by wrapping.
-OWNER_LINE = r"(?m)^[ \t\r]*(?:[#*/;%-]+[ \t]*)?(?:(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*|all rights reserved[ \t\r.!*/#-]*)$"
-#: The wider expression of the DuckDB SQL, which takes every line that begins with 'copyright'; the query doesn't use it.
-COPYRIGHT_LINE = r"(?m)^[ \t\r]*(?:[#*/;%-]+[ \t]*)?(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-#: Spellings that license matching holds to be equal, each to its second form.
+OWNER_LINE = r"(?m)^[ \t\r]*(?:[#*/;%-]+[ \t]*)?(?:(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|[\[{<]y)|\(c\)[ \t]*[0-9]{4}|©)[^\n]*|all rights reserved[ \t\r.!*/#-]*)$"
+#: Titles over such bodies, between words two blanks.
+TITLE = (
+    "^(?:the )?(?:mit license(?: mit)?|mit no attribution(?: license)?|isc license(?: isc)?|bsd (?:zero|0|1|2|3) clause license|zero clause bsd(?: license)?"
+    "|(?:new |modified |simplified |revised )?bsd license) (permission is hereby|permission to use|redistribution and use)"
+).replace(" ", "  ")
+#: Whole words that license matching holds to be equal, each to its second form, in this order.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
     "analogue": "analog",
@@ -24,6 +29,8 @@ SPELLINGS = {
     "authorised": "authorized",
     "calibre": "caliber",
     "cancelled": "canceled",
+    "copyright owner": "copyright holder",
+    "copyright owners": "copyright holders",
     "capitalisations": "capitalizations",
     "catalogue": "catalog",
     "categorise": "categorize",
@@ -31,11 +38,14 @@ SPELLINGS = {
     "emphasised": "emphasized",
     "favour": "favor",
     "fulfilment": "fulfillment",
+    "https": "http",
     "initialise": "initialize",
     "judgement": "judgment",
     "labelling": "labeling",
     "labour": "labor",
     "licence": "license",
+    "licences": "licenses",
+    "licenced": "licensed",
     "maximise": "maximize",
     "modelled": "modeled",
     "noncommercial": "non commercial",
@@ -49,6 +59,8 @@ SPELLINGS = {
     "recognise": "recognize",
     "signalling": "signaling",
     "sublicence": "sublicense",
+    "sub licence": "sublicense",
+    "sub license": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
@@ -57,15 +69,25 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no lines that state an owner, one space for each run of what is no letter or digit, equal spellings made one."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), OWNER_LINE, ""), NOT_WORD, " "))
-    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS.items(), plain)
+    """Lower case, no lines that state an owner and no title, two blanks for each run of what is no letter or digit, words of
+    equal spelling made one. So neither wrapping nor a notice in front changes a text's form; a notice in the midst of a long
+    text needs a line of its own, since what follows it on its line goes with it."""
+    owned = F.regexp_replace(F.regexp_replace(F.lower(text), BODY, "\n$1"), OWNER_LINE, "")
+    plain = F.concat(F.lit("  "), F.regexp_replace(owned, NOT_WORD, "  "), F.lit("  "))
+    return F.regexp_replace(F.trim(reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), replacements(), plain)), TITLE, "$1")
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """license and digest for each of the given texts; of texts with equal digests the first name stays."""
-    rows = spark.createDataFrame(sorted(texts.items()), "license string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+def replacements() -> list[tuple[str, str]]:
+    """SPELLINGS between blanks; words have two between them, so that each has its own."""
+    return [tuple(f" {x.replace(' ', '  ')} " for x in pair) for pair in SPELLINGS.items()]
+
+
+def known_licenses(spark: SparkSession, texts: dict[str, str], digests: dict[str, str] | None = None) -> DataFrame:
+    """license and digest for each of the given texts, and of longer ones by digest alone; of equal digests the first name stays."""
+    rows = spark.createDataFrame(sorted(texts.items()), "license string, text string").select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    if digests:
+        rows = rows.unionByName(spark.createDataFrame(sorted(digests.items()), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

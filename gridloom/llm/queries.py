@@ -11,7 +11,7 @@ from . import sql
 from .common import staged_path
 from .exact_dedup import exact_duplicates
 from .language_id import language_id
-from .license_texts import TEXTS
+from .license_texts import DIGESTS, TEXTS
 from .licenses import known_licenses, scan_licenses
 from .mixing import mix_to_weights
 from .near_dedup import near_duplicates
@@ -48,7 +48,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark, TEXTS))
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark, TEXTS, DIGESTS))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from functools import reduce
 
-from .license_texts import TEXTS
-from .licenses import COPYRIGHT_LINE, NOT_WORD, SPELLINGS
+from .license_texts import DIGESTS, TEXTS
+from .licenses import BODY, NOT_WORD, OWNER_LINE, TITLE, replacements
 
 EXACT_DEDUP = r"""
 WITH d AS (
@@ -20,13 +20,16 @@ FROM d
 
 
 def _canonical(text: str) -> str:
-    plain = f"trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g'), '{NOT_WORD}', ' ', 'g'))"
-    return reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", SPELLINGS.items(), plain)
+    owned = f"regexp_replace(regexp_replace(lower({text}), '{BODY}', chr(10) || '\\1', 'g'), '{OWNER_LINE}', '', 'g')"
+    plain = f"'  ' || regexp_replace({owned}, '{NOT_WORD}', '  ', 'g') || '  '"
+    return f"regexp_replace(trim({reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", replacements(), plain)}), '{TITLE}', '\\1')"
 
 
 _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEXTS.items())
+_LONG = ", ".join(f"('{name}', '{digest}')" for name, digest in DIGESTS.items())
 LICENSE_SCAN = f"""
-WITH known AS (SELECT sha256({_canonical("t")}) AS h, min(name) AS license FROM (VALUES {_KNOWN}) AS v(name, t) GROUP BY 1),
+WITH every AS (SELECT sha256({_canonical("t")}) AS h, name FROM (VALUES {_KNOWN}) AS v(name, t) UNION ALL SELECT h, name FROM (VALUES {_LONG}) AS v(name, h)),
+     known AS (SELECT h, min(name) AS license FROM every GROUP BY 1),
      d AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS h FROM documents)
 SELECT d.doc_id, d.h AS canonical_sha256, CASE WHEN d.h <> sha256('') THEN known.license END AS license
 FROM d LEFT JOIN known ON d.h = known.h
