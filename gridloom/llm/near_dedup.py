@@ -35,7 +35,7 @@ BUCKETS, SLICE = 1 << 18, 1 << 12
 RARE = 64
 #: Outsiders of a bucket that a task holds and their bytes, members that stream past them, and nodes of a hub that one copy
 #: of its text is compared to: parts of a bucket or a hub, so that however large it is, tasks stay as they are.
-BLOCK, BLOCK_BYTES, RUN, PART = 256, 8 << 20, 1024, 64
+BLOCK, BLOCK_BYTES, RUN, PART = 256, 8 << 20, 512, 64
 
 
 def idf_table(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:

@@ -139,16 +139,21 @@ def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS) -> Model:
-    """Both sorted the same way each time give the same model."""
+    """Both sorted the same way each time give the same model. Both arrays are changed."""
     if not len(positive) or not len(unlabelled):
         width = BUCKETS + FORM
         return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width, np.float32), 0.0, 0.5)
-    both = np.concatenate([positive, unlabelled])
-    mean, spread = both.mean(axis=0), both.std(axis=0)
-    scale = np.ones_like(spread)
-    scale[BUCKETS:] = 1 / np.maximum(spread[BUCKETS:], 1e-3)
-    scale[:BUCKETS] = 3.0
-    p, u = (positive - mean) * scale, (unlabelled - mean) * scale
+    parts, n = (positive, unlabelled), len(positive) + len(unlabelled)
+    mean = (sum(x.sum(axis=0, dtype=np.float64) for x in parts) / n).astype(np.float32)
+    form = [x[:, BUCKETS:].astype(np.float64) - mean[BUCKETS:] for x in parts]
+    spread = np.sqrt(sum((x * x).sum(axis=0) for x in form) / n)
+    scale = np.full(len(mean), 3.0, np.float32)
+    scale[BUCKETS:] = 1 / np.maximum(spread, 1e-3)
+    # in place: the driver holds the sample once
+    for x in parts:
+        x -= mean
+        x *= scale
+    p, u = parts
     prior = estimated_prior(p, u)
     return Model(mean, scale, *_fit(p, u, prior, steps), prior)
 
@@ -181,11 +186,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
             x = make(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "trusted": b["trusted"], "other": b["other"], "x": [r.tobytes() for r in x]})
 
-    found = sample.mapInPandas(made, "doc_id string, trusted boolean, other boolean, x binary").toPandas()
-    found["h"] = [xxhash.xxh64_intdigest(str(d)) for d in found["doc_id"]]
-    found = found.sort_values(["h", "x"], kind="stable")
-    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), BUCKETS + FORM)
-    return train(x[found["trusted"].to_numpy(bool)], x[found["other"].to_numpy(bool)])
+    found = sample.mapInPandas(made, "doc_id string, trusted boolean, other boolean, x binary").toArrow()
+    flags = {c: np.array(found.column(c).to_pylist(), bool) for c in ("trusted", "other")}
+    h = np.array([xxhash.xxh64_intdigest(str(d)) for d in found.column("doc_id").to_pylist()], np.uint64)
+    chunks = [np.frombuffer(c.buffers()[2], np.float32, len(c) * (BUCKETS + FORM), int(np.frombuffer(c.buffers()[1], np.int32)[c.offset])) for c in found.column("x").chunks if len(c)]
+    x = (np.concatenate(chunks) if chunks else np.zeros(0, np.float32)).reshape(len(h), BUCKETS + FORM)
+    del found, chunks
+    # rows of equal ids by what they hold, so that the order is the same each time
+    order = np.lexsort((*x[:, ::-97].T, h))
+    return train(*(x[order[flags[c][order]]] for c in ("trusted", "other")))
 
 
 def _scores(model: Model, make: Featurizer, texts: list[str | None]) -> np.ndarray:
