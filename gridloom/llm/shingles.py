@@ -13,7 +13,7 @@ import xxhash
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 #: Words and texts handled at once; a feature keeps 52 of its 64 bits beside a text's place in a batch.
-BATCH_WORDS, BATCH_TEXTS, FEATURE_BITS = 600_000, 4_096, 52
+BATCH_WORDS, BATCH_TEXTS, FEATURE_BITS = 150_000, 4_096, 52
 #: Bytes of text hashed at once: at most 2**12 rows of them, so that a row's number fits beside a feature.
 RUN_BYTES, RUN_ROWS = 1 << 19, 1 << 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)

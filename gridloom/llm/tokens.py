@@ -35,7 +35,7 @@ _KIND[ord("a") : ord("z") + 1] = 1
 _LATIN, _LATIN_SIGNS = 0xC3, (0x97, 0xB7)
 _KIND[[_LATIN, *range(0x80, 0xC0)]] = 1
 #: Chunks a worker remembers, the longest such, pieces it remembers and the ids they have.
-CACHE_CHUNKS, CACHE_LENGTH, CACHE_PIECES, CACHE_IDS = 50_000, 48, 1_200_000, 12_000_000
+CACHE_CHUNKS, CACHE_LENGTH, CACHE_PIECES, CACHE_IDS = 20_000, 48, 500_000, 5_000_000
 
 
 class _Memory(dict):
@@ -54,7 +54,7 @@ class _Memory(dict):
 class _Pieces:
     """Ids of pieces by 64-bit hash, in an open table; when it is full, pieces that only one run of rows had go."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, dtype):
         self.dtype = dtype
@@ -78,7 +78,7 @@ class _Pieces:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Each hash's number, -1 for unknown ones."""
         out = np.full(len(h), -1, np.int64)
-        rest, slot = np.arange(len(h)), (h >> np.uint64(43)).astype(np.int64)
+        rest, slot = np.arange(len(h)), (h >> np.uint64(44)).astype(np.int64)
         while len(rest):
             key = self.keys[slot]
             hit = key == h[rest]
@@ -95,7 +95,7 @@ class _Pieces:
         self.first[self.known : known] = self.used + np.cumsum(count) - count
         self.count[self.known : known] = count
         self.ids[self.used : used] = ids
-        rest, slot = np.arange(len(h)), (h >> np.uint64(43)).astype(np.int64)
+        rest, slot = np.arange(len(h)), (h >> np.uint64(44)).astype(np.int64)
         while len(rest):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[rest[free]]

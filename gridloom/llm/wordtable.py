@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 #: Words a table holds before it is emptied.
-CAPACITY = 300_000
+CAPACITY = 200_000
 
 
 class WordTable:
