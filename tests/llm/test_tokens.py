@@ -165,6 +165,43 @@ def test_packing_documents(documents, plain, monkeypatch):
     assert seen == whole
 
 
+def test_deficits_carry_over_shards(documents, monkeypatch):
+    """Replayed over the whole tape, as if it were one queue run: a source that is owed nothing is served only where no
+    source with ids left in the shard is owed anything."""
+    from gridloom.llm import packing
+
+    tables, staged = {}, packing.staged
+
+    def kept(df, tag):
+        tables[tag] = staged(df, tag)
+        return tables[tag]
+
+    monkeypatch.setattr(packing, "SHARD_IDS", 3_000)
+    monkeypatch.setattr(packing, "staged", kept)
+    rows = sorted(pack_by_mixture(documents, tokenizer_path()).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    counts = tables["pack-counts"].collect()
+    left = {(r["shard"], r["source"]): r["n"] for r in counts}
+    shards = sorted({r["shard"] for r in counts})
+    assert len(shards) > 10
+    whole = {}
+    for (_, s), n in left.items():
+        whole[s] = whole.get(s, 0) + n
+    total, taken, at, k = sum(whole.values()), dict.fromkeys(whole, 0), 0, 0
+    end = sum(left.get((shards[0], s), 0) for s in whole)
+    for r in rows:
+        if at == end:
+            k += 1
+            end += sum(left.get((shards[k], s), 0) for s in whole)
+        earned = min((at // 2048 + 1) * 2048, end)
+        owed = {s: n / total * earned - taken[s] for s, n in whole.items()}
+        if owed[r["source"]] <= -1e-6:
+            assert not [s for s in whole if owed[s] > 1e-6 and left.get((shards[k], s), 0)]
+        taken[r["source"]] += r["length"]
+        left[shards[k], r["source"]] -= r["length"]
+        at += r["length"]
+    assert at == total and k == len(shards) - 1 and not any(left.values())
+
+
 def test_running_sums(spark):
     from gridloom.llm.packing import running
 
