@@ -308,14 +308,24 @@ def melt_mixed(s, d):
     return orders(s, d).melt(["o_orderkey"], ["o_custkey", "o_orderstatus"], "name", "text")
 
 
-@query("SELECT CAST(least(500, count(*)) AS BIGINT) AS rows, CAST(least(500, count(*)) AS BIGINT) AS ids FROM events")
+def _drawn(s, d, n: int, replace: bool) -> DataFrame:
+    """What any right sample has in common: its rows, those that are whole rows of the table, how often one may come."""
+    rows = events(s, d).sample(n, replace, seed=3).df
+    often = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*rows.columns)).alias("row"), F.min(F.struct(*rows.columns)).alias("least"))
+    found = often.join(table(s, d, "events").select("event_id", F.struct(*rows.columns).alias("own")), "event_id", "left")
+    known = F.sum(F.when((F.col("row") == F.col("own")) & (F.col("least") == F.col("own")), F.col("n")).otherwise(0))
+    return found.agg(F.sum("n").alias("rows"), known.alias("known"), (F.max("n") > 1).alias("repeats"))
+
+
+@query("SELECT CAST(least(500, count(*)) AS BIGINT) AS rows, CAST(least(500, count(*)) AS BIGINT) AS known, false AS repeats FROM events")
 def sample_n(s, d):
-    return events(s, d).sample(500, seed=3).df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("ids"))
+    return _drawn(s, d, 500, False)
 
 
-@query("SELECT CAST(1500 AS BIGINT) AS rows FROM region LIMIT 1")
+# 1500 draws from up to 100,000 rows repeat one, but for a chance of e to the power of -11 at most
+@query("SELECT CAST(1500 AS BIGINT) AS rows, CAST(1500 AS BIGINT) AS known, true AS repeats FROM events HAVING count(*) > 0")
 def sample_replace(s, d):
-    return events(s, d).sample(1500, replace=True, seed=3).df.agg(F.count(F.lit(1)).alias("rows"))
+    return _drawn(s, d, 1500, True)
 
 
 @query("SELECT event_id, CAST(least((row_number() OVER (ORDER BY event_id) - 1) // ((SELECT count(*) FROM events) // 3), 2) AS INTEGER) AS fold FROM events")
