@@ -36,6 +36,15 @@ def test_query_equals_sql(spark, duck, name):
     assert shown(rows) == shown(want.fetchall())
 
 
+def test_pct_change_rounds_as_its_sql(spark, duck, tmp_path):
+    # (57.63 - 6.4) / 6.4 is just under 8.0046875; 0 / 0 is NaN, not null
+    values = [6.4, 57.63, 0.0, 0.0, 1.28, 2.25, -0.0000005, 3.0, float("nan"), 1.0, None, 2.0, 1e-300, 1e300]
+    spark.createDataFrame([(i, i // 100, v) for i, v in enumerate(values)], "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = duck.execute(catalog.SQL["pct_change"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    found = catalog.QUERIES["pct_change"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(str((i, v and v + 0.0)) for i, v in want)
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
