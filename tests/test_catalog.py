@@ -45,6 +45,13 @@ def test_pct_change_rounds_as_its_sql(spark, duck, tmp_path):
     assert sorted(map(str, map(tuple, found))) == sorted(str((i, v and v + 0.0)) for i, v in want)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 6_000_000])
+def test_sample_replace_of_small_and_large_tables(spark, duck, tmp_path, rows):
+    spark.range(rows).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    want = duck.execute(catalog.SQL["sample_replace"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["sample_replace"](spark, str(tmp_path)).collect()] == want
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
