@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import released, staged
 from .shingles import mixed
 
 #: Bits a row, of which two are set; bits of a slice at most (32 MB): keys fall into as many slices as all rows need, so a filter
@@ -101,7 +101,7 @@ def marks(rows: DataFrame, key: str, layout: Layout, least: int = 1) -> DataFram
         if now:
             yield done()
 
-    parts = rows.select(key).mapInArrow(marked, "slice long, block long, once binary, again binary")
+    parts = rows.select(key).mapInArrow(released(marked), "slice long, block long, once binary, again binary")
     return parts.repartition("slice", "block").sortWithinPartitions("slice", "block").mapInArrow(merged, "slice long, block long, at binary")
 
 
@@ -127,7 +127,7 @@ def tested(rows: DataFrame, key: str, part: int, words: np.ndarray, layout: Layo
             hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "maybe"])
 
-    return rows.mapInArrow(test, T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())]))
+    return rows.mapInArrow(released(test), T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())]))
 
 
 def in_slices(rows: DataFrame, key: str, count: int, least: int, write) -> None:

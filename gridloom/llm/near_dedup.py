@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import Layout, marks, slice_bits, tested
-from .common import join_by_weight, numbered, staged, text_or_empty, without_rows
+from .common import join_by_weight, numbered, released, staged, text_or_empty, without_rows
 from .components import connected
 from .shingles import (
     ConsistentSampler,
@@ -70,7 +70,7 @@ def idf_table(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
     kind = "slice int, n binary"
     # two steps of sums: a slice's parts are dealt to several tasks first
-    some = texts.select("text").mapInArrow(counted, "slice int, task int, n binary").repartition("slice", "task").mapInArrow(added, kind)
+    some = texts.select("text").mapInArrow(released(counted), "slice int, task int, n binary").repartition("slice", "task").mapInArrow(added, kind)
     df = np.zeros(BUCKETS)
     for r in some.repartition("slice").mapInArrow(added, kind).toLocalIterator():
         df[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(bytes(r["n"]), np.int64)
@@ -110,7 +110,7 @@ def _signatures(full: DataFrame, idf, size: int, bands: int, rows: int) -> DataF
 
     schema = T.StructType([f for f in full.schema if f.name != "text"])
     schema = schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())).add("outline", "binary").add("rarity", "double")
-    return full.mapInArrow(signed, schema)
+    return full.mapInArrow(released(signed), schema)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, idf, least: float, size: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, idf, least: float, size: int) -
     nodes = salted.join(texts, "node").select("hub", "salt", F.lit(False).alias("is_hub"), "node", "text")
     hubs = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(True).alias("is_hub"), F.col("hub").alias("node"), "text")
     dealt = hubs.unionByName(nodes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
-    return dealt.select("hub", "node", "is_hub", "text").mapInArrow(verified, "node binary, hub binary")
+    return dealt.select("hub", "node", "is_hub", "text").mapInArrow(released(verified), "node binary, hub binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -241,7 +241,7 @@ def _met(open_: DataFrame, texts: DataFrame, idf, least: float, size: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["node", "hub"])
 
     dealt = members.unionByName(outsiders).repartition("bucket", "block", "run").sortWithinPartitions("bucket", "block", "run", "member")
-    return dealt.mapInArrow(linked, "node binary, hub binary").distinct()
+    return dealt.mapInArrow(released(linked), "node binary, hub binary").distinct()
 
 
 def _texts_of(full: DataFrame, wanted: DataFrame) -> DataFrame:

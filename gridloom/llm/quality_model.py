@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import released, text_or_empty
 from .shingles import batches_of, mixed
 from .wordtable import WordTable, summed
 
@@ -186,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
             x = make(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "trusted": b["trusted"], "other": b["other"], "x": [r.tobytes() for r in x]})
 
-    found = sample.mapInPandas(made, "doc_id string, trusted boolean, other boolean, x binary").toArrow()
+    found = sample.mapInPandas(released(made), "doc_id string, trusted boolean, other boolean, x binary").toArrow()
     flags = {c: np.array(found.column(c).to_pylist(), bool) for c in ("trusted", "other")}
     h = np.array([xxhash.xxh64_intdigest(str(d)) for d in found.column("doc_id").to_pylist()], np.uint64)
     chunks = [np.frombuffer(c.buffers()[2], np.float32, len(c) * (BUCKETS + FORM), int(np.frombuffer(c.buffers()[1], np.int32)[c.offset])) for c in found.column("x").chunks if len(c)]
@@ -197,11 +197,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     return train(*(x[order[flags[c][order]]] for c in ("trusted", "other")))
 
 
-def _scores(model: Model, make: Featurizer, texts: list[str | None]) -> np.ndarray:
-    texts = [t or "" for t in texts]
-    score = np.concatenate([model.score(make(texts[k : k + 512])) for k in range(0, len(texts), 512)] or [np.zeros(0)])
-    score[[not t or t.isspace() for t in texts]] = 0.0
-    return score
+def _scores(model: Model, make: Featurizer, column: pa.Array) -> np.ndarray:
+    """Texts become Python's a few at a time, so a worker holds a batch once."""
+    found = [np.zeros(0)]
+    for k in range(0, len(column), 512):
+        texts = [t or "" for t in column.slice(k, 512).to_pylist()]
+        found.append(model.score(make(texts)))
+        found[-1][[not t or t.isspace() for t in texts]] = 0.0
+    return np.concatenate(found)
 
 
 def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -216,11 +219,11 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold:
     def scored(batches):
         make = Featurizer()
         for b in batches:
-            score = _scores(shared.value, make, b.column(text).to_pylist())
+            score = _scores(shared.value, make, b.column(text))
             kept = b.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(released(scored), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -230,9 +233,9 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     def good(batches):
         make = Featurizer()
         for b in batches:
-            yield b.filter(pa.array(_scores(shared.value, make, b.column(text).to_pylist()) >= threshold))
+            yield b.filter(pa.array(_scores(shared.value, make, b.column(text)) >= threshold))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(released(good), docs.schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,7 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from gridloom.llm import common, quality_model
 from gridloom.llm.quality_model import fit_quality, quality_scores
 
 
@@ -51,3 +55,31 @@ def test_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and len([q for q in __spark_entry__.queries() if re.match(r"op\d+_", q)]) == 10
+
+
+def test_workers_get_small_batches_and_read_them_a_few_texts_at_a_time(spark, data):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for given, left in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            spark.conf.set(key, given)
+            corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{data}/documents.parquet").limit(20), data)
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, was)
+    seen = []
+
+    class Model:
+        def score(self, x):
+            return np.ones(len(x))
+
+    score = quality_model._scores(Model(), lambda texts: seen.append(len(texts)) or texts, pa.array(["a"] * 1_200 + [None, " ", "b"]))
+    assert seen == [512, 512, 179] and score.tolist() == [1.0] * 1_200 + [0.0, 0.0, 1.0]
+
+
+def test_a_task_gives_back_memory_when_its_batches_end(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "_release", lambda: freed.append(1))
+    batches = common.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(batches) == 2 and not freed
+    assert list(batches) == [4] and freed == [1]
